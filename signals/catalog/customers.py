@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signals.catalog.registry import EVENTS, ORDERS, PEOPLE, as_long, query, rounded, table
-from signals.columns import SNAPSHOT, TARGET, PurchaseCols
+from signals.catalog.registry import EVENTS, ORDER_LINES, ORDERS, PEOPLE, as_long, query, rounded, table
+from signals.columns import SNAPSHOT, TARGET
 from signals.operators.campaign import campaign_list, fit_propensity, score_with, scored_list
 from signals.operators.customers import rfm
 from signals.operators.drift import drift_summary, panel_drift
@@ -152,7 +152,7 @@ def _test_scores(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def _scored_base(spark, d) -> DataFrame:
-    return _fixed_score(scoring_base(_orders(spark, d), cols=ORDERS), "score_recompra_30d")
+    return _fixed_score(scoring_base(_orders(spark, d), cols=ORDERS, one_row_per_order=True), "score_recompra_30d")
 
 
 # --- queries ----------------------------------------------------------------------------
@@ -183,7 +183,7 @@ def campaign_tiles_query(spark, d):
 round(monetary_lookback, 2) monetary_lookback, round(ticket_medio_lookback, 6) ticket_medio_lookback,
 round(tendencia_gasto_lookback, 6) tendencia_gasto_lookback FROM base""")
 def scoring_base_query(spark, d):
-    return _round_features(scoring_base(_orders(spark, d), cols=ORDERS))
+    return _round_features(scoring_base(_orders(spark, d), cols=ORDERS, one_row_per_order=True))
 
 
 RFM_SQL = """SELECT o_custkey, max(o_orderdate) ultima_compra, count(DISTINCT o_orderkey) frequency,
@@ -194,7 +194,7 @@ FROM orders GROUP BY o_custkey"""
 
 @query("rfm", RFM_SQL)
 def rfm_query(spark, d):
-    return rounded(rfm(_orders(spark, d), cols=ORDERS), monetary=2)
+    return rounded(rfm(_orders(spark, d), cols=ORDERS, one_row_per_order=True), monetary=2)
 
 
 @query("rfm_events", """SELECT user_id, max(ts) ultima_compra, count(DISTINCT event_id) frequency,
@@ -206,11 +206,18 @@ def rfm_events(spark, d):
     return rounded(rfm(bought, cols=EVENTS), monetary=2)
 
 
+@query("rfm_order_lines", """SELECT l_suppkey, max(l_shipdate) ultima_compra, count(DISTINCT l_orderkey) frequency,
+round(sum(l_extendedprice), 2) monetary, CAST(floor(epoch((SELECT max(l_shipdate) + INTERVAL 1 DAY FROM lineitem)
+- max(l_shipdate)) / 86400) AS BIGINT) recency FROM lineitem GROUP BY l_suppkey""")
+def rfm_order_lines(spark, d):
+    return rounded(rfm(table(spark, d, "lineitem"), cols=ORDER_LINES), monetary=2)
+
+
 @query("rfm_customers", f"""SELECT r.*, c_name, c_nationkey, c_acctbal, c_mktsegment
 FROM ({RFM_SQL}) r LEFT JOIN customer ON o_custkey = c_custkey""")
 def rfm_customers(spark, d):
     people = table(spark, d, "customer")
-    return rounded(rfm(_orders(spark, d), people, cols=ORDERS, customer_key="c_custkey"), monetary=2)
+    return rounded(rfm(_orders(spark, d), people, cols=ORDERS, customer_key="c_custkey", one_row_per_order=True), monetary=2)
 
 
 @query("propensity_panel", f"WITH {ORDERS_PANEL} SELECT o_custkey, {PANEL_SELECT}, target_recompra_30d FROM panel")
@@ -236,12 +243,23 @@ LINE_PANEL = panel_cte("ln", "l_suppkey", "l_orderkey", "l_shipdate", "l_extende
 SELECT l_suppkey, {PANEL_SELECT.replace("ticket_medio_lookback, 6", "ticket_medio_lookback, 7")}, target_recompra_30d
 FROM panel""")
 def panel_order_lines(spark, d):
-    cols = PurchaseCols("l_suppkey", "l_orderkey", "l_shipdate", "l_extendedprice")
-    panel = propensity_panel(table(spark, d, "lineitem"), cols)
+    panel = propensity_panel(table(spark, d, "lineitem"), ORDER_LINES)
     # Seven digits: with 32 orders the sixth is an exact tie, which engines round differently.
     return rounded(panel, monetary_lookback=2, ticket_medio_lookback=7, tendencia_gasto_lookback=6)
 
 
+@query("scoring_base_order_lines", """WITH a AS (SELECT CAST(CAST(max(l_shipdate) AS DATE) AS TIMESTAMP) d FROM lineitem)
+SELECT l_suppkey, CAST(floor(epoch(any_value(d) - max(l_shipdate)) / 86400) AS BIGINT) recency,
+count(DISTINCT l_orderkey) frequency_lookback, round(sum(l_extendedprice), 2) monetary_lookback,
+round(sum(l_extendedprice) / count(DISTINCT l_orderkey), 7) ticket_medio_lookback,
+round(coalesce(sum(l_extendedprice) FILTER (WHERE l_shipdate >= d - INTERVAL 30 DAY), 0) / sum(l_extendedprice), 6)
+  tendencia_gasto_lookback
+FROM lineitem, a WHERE l_shipdate >= d - INTERVAL 90 DAY AND l_shipdate <= d GROUP BY l_suppkey""")
+def scoring_base_order_lines(spark, d):
+    base = scoring_base(table(spark, d, "lineitem"), cols=ORDER_LINES)
+    return rounded(base, monetary_lookback=2, ticket_medio_lookback=7, tendencia_gasto_lookback=6)
+
+
 @query("split_by_date", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) order_date FROM orders),
 dd AS (SELECT order_date, row_number() OVER (ORDER BY order_date) rn, count(*) OVER () n
        FROM (SELECT DISTINCT order_date FROM o)),
@@ -466,5 +484,5 @@ def campaign_rf(spark, d):
     """The weekly list with the learned score."""
     panel = write_once(_panel(spark, d))
     model = fit_propensity(training_rows(split_by_date(panel)), trees=20)
-    scored = score_with(model, scoring_base(_orders(spark, d), cols=ORDERS))
+    scored = score_with(model, scoring_base(_orders(spark, d), cols=ORDERS, one_row_per_order=True))
     return campaign_list(scored, table(spark, d, "customer"), key=KEY, cols=PEOPLE)

@@ -17,6 +17,8 @@ SQL: dict[str, str] = {}
 # How the test tables play the roles of the business tables.
 ORDERS = PurchaseCols("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 EVENTS = PurchaseCols("user_id", "event_id", "ts", "value")
+# An order has many lines, so this role exercises the distinct-order paths.
+ORDER_LINES = PurchaseCols("l_suppkey", "l_orderkey", "l_shipdate", "l_extendedprice")
 LINES = FactoryCols("l_orderkey", "l_shipdate", "l_extendedprice")
 PEOPLE = CustomerCols("c_custkey", "c_name")
 

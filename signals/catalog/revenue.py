@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signals.catalog.customers import drift_cte
-from signals.catalog.registry import LINES, ORDERS, query, rounded, table
+from signals.catalog.registry import LINES, ORDER_LINES, ORDERS, query, rounded, table
 from signals.columns import DAILY_DRIVERS, DAY, REVENUE
 from signals.operators.drift import revenue_drift
 from signals.operators.forecast import (
@@ -130,12 +130,12 @@ fm AS (SELECT model, mae, mape, wape, gain wape_uplift_vs_best_baseline,
 
 
 def _kpis(spark, d) -> DataFrame:
-    return daily_kpis(table(spark, d, "orders"), table(spark, d, "lineitem"), ORDERS, LINES)
+    return daily_kpis(table(spark, d, "orders"), table(spark, d, "lineitem"), ORDERS, LINES, one_row_per_order=True)
 
 
 def _segment_kpis(spark, d) -> DataFrame:
     owner = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), *SEGMENT)
-    return daily_kpis(table(spark, d, "orders").join(owner, "o_custkey"), cols=ORDERS, series=SEGMENT)
+    return daily_kpis(table(spark, d, "orders").join(owner, "o_custkey"), cols=ORDERS, series=SEGMENT, one_row_per_order=True)
 
 
 def _round_kpis(df: DataFrame) -> DataFrame:
@@ -164,6 +164,14 @@ def daily_kpis_query(spark, d):
     return _round_kpis(_kpis(spark, d))
 
 
+@query("daily_kpis_order_lines", """SELECT CAST(l_shipdate AS DATE) data,
+round(sum(l_extendedprice), 2) faturamento_total, count(DISTINCT l_orderkey) numero_pedidos,
+count(DISTINCT l_suppkey) clientes_unicos, round(sum(l_extendedprice) / count(DISTINCT l_orderkey), 7) ticket_medio,
+CAST(0 AS DOUBLE) valor_pedido_fabrica FROM lineitem GROUP BY 1""")
+def daily_kpis_order_lines(spark, d):
+    return rounded(daily_kpis(table(spark, d, "lineitem"), cols=ORDER_LINES), faturamento_total=2, ticket_medio=7)
+
+
 @query("daily_features", f"""WITH {KPI_CTE} SELECT {KPI_SELECT}, CAST(isodow(data) - 1 AS INTEGER) dia_semana,
 CAST(month(data) AS INTEGER) mes, CAST(year(data) AS INTEGER) ano,
 round(avg(faturamento_total) OVER (ORDER BY data ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) fat_rolling_7,

@@ -29,13 +29,19 @@ def relabel(c: Column, labels: dict[str, str]) -> Column:
     return out.otherwise(c)
 
 
+def _formatted(pattern: str, c: Column) -> Column:
+    """Null stays null (a format would spell it out)."""
+    return F.when(c.isNotNull(), F.format_string(pattern, c))
+
+
 def percent(c: Column, decimals: int = 1) -> Column:
-    return F.format_string(f"%.{decimals}f%%", F.bround(c * 100, decimals))
+    return _formatted(f"%.{decimals}f%%", F.bround(c * 100, decimals))
 
 
 def points(c: Column, decimals: int = 1) -> Column:
-    """Signed percentage points."""
-    return F.format_string(f"%+.{decimals}f p.p.", F.bround(c, decimals))
+    """Signed percentage points; a small loss still reads -0.0."""
+    rounded = F.bround(c, decimals)
+    return _formatted(f"%+.{decimals}f p.p.", F.when((c < 0) & (rounded == 0), F.lit(-0.0)).otherwise(rounded))
 
 
 def currency(c: Column) -> Column:
@@ -43,4 +49,4 @@ def currency(c: Column) -> Column:
 
 
 def decimals(c: Column, n: int = 4) -> Column:
-    return F.format_string(f"%.{n}f", F.bround(c, n))
+    return _formatted(f"%.{n}f", F.bround(c, n))

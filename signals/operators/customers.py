@@ -25,19 +25,23 @@ def rfm(
     cols: PurchaseCols = PurchaseCols(),
     customer_key: str | None = None,
     dedup_customers: bool = False,
+    one_row_per_order: bool = False,
 ) -> DataFrame:
     """A1: one row per customer with last purchase, distinct orders, spend and recency.
 
     The distinct order count shuffles by (customer, order) first, so one customer with a
-    large share of all purchases is spread over many tasks. The customer table joins on
-    the already reduced profile (J1); duplicate customers fan out unless deduplicated.
+    large share of all purchases is spread over many tasks; ``one_row_per_order`` (tables
+    keyed by order) replaces it by a plain count and saves that shuffle. The customer table
+    joins on the already reduced profile (J1); duplicate customers fan out unless
+    deduplicated.
     """
+    orders = F.count(cols.order) if one_row_per_order else F.count_distinct(cols.order)
     ref = F.lit(reference).cast("timestamp_ntz") if reference is not None else day_after_last(purchases, cols.time)
     profile = (
         purchases.groupBy(cols.customer)
         .agg(
             F.max(cols.time).alias("ultima_compra"),
-            F.count_distinct(cols.order).alias("frequency"),
+            orders.alias("frequency"),
             sum_or_zero(F.col(cols.value)).alias("monetary"),
         )
         .withColumn("recency", whole_days(F.col("ultima_compra"), ref))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +46,17 @@ def mean_shift(ref_mean: Column, ref_std: Column, cur_mean: Column) -> Column:
 def label_edges(lo: float, hi: float, bins: int = BINS, digits: int = 3) -> list[float]:
     """Bin limits as they read on interval labels: the lowest is moved down by 0.1 % of the
     range, and all are rounded to the fewest digits (at least three) that keep them apart."""
-    edges = [lo + (hi - lo) * i / bins for i in range(bins + 1)]
+    edges = np.linspace(lo, hi, bins + 1)
     edges[0] -= (hi - lo) * 0.001
-
-    def at(x: float, d: int) -> float:
-        if x == 0 or abs(x) >= 1:
-            return round(x, d)
-        return round(x, d - 1 - math.floor(math.log10(abs(x))))
-
+    # Digits count from the first significant one for values below 1.
+    small = (edges != 0) & (np.abs(edges) < 1)
+    lead = np.zeros(len(edges), int)
+    lead[small] = -1 - np.floor(np.log10(np.abs(edges[small]))).astype(int)
     for d in range(digits, 20):
-        rounded = [at(x, d) for x in edges]
+        rounded = [float(np.round(x, d + k)) for x, k in zip(edges, lead.tolist())]
         if len(set(rounded)) == len(rounded):
             return rounded
-    return edges
+    return edges.tolist()
 
 
 def drift_report(

@@ -37,7 +37,7 @@ def address_misses(
     """
     require_columns(df, [address])
     keyed = df.select(address_key(F.col(address)).alias(KEY), F.col(address).cast("string").alias(address))
-    known = keyed.filter((F.col(KEY) != "") & F.col(address).isNotNull())
+    known = keyed.filter((F.col(KEY) != "") & F.col(address).isNotNull()).distinct()
     fresh = first_by_key(known, [KEY]).join(repaired_cache(cache, address).select(KEY), KEY, "left_anti")
     return fresh.select(KEY, F.concat_ws(", ", F.col(address), F.lit(city)).alias("consulta"))
 

@@ -287,29 +287,26 @@ def model_selection(
 
 
 # --- recursive forecast -----------------------------------------------------------------
+# These expressions are SQL text: a step has dozens of them, and text is one call each.
 
 
-def _tail(values: Column, n: int) -> Column:
+def _tail(values: str, n: int) -> str:
     """The last n elements, or all of them."""
-    return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), n)
+    return f"slice({values}, greatest(size({values}) - {n - 1}, 1), {n})"
 
 
-def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return total / F.size(values)
+def _mean(values: str) -> str:
+    return f"aggregate({values}, 0D, (a, x) -> a + x, a -> a / size({values}))"
 
 
-def _spread(values: Column) -> Column:
+def _spread(values: str, mean: str) -> str:
     """Population standard deviation; 0 for a single value."""
-    mean = _mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(values))
+    return f"sqrt(aggregate({values}, 0D, (a, x) -> a + pow(x - {mean}, 2), a -> a / size({values})))"
 
 
-def _from_end(values: Column, k: int) -> Column:
+def _from_end(values: str, k: int) -> str:
     """The k-th value from the end, or the last one in a shorter history."""
-    return F.when(F.size(values) >= k, F.try_element_at(values, F.lit(-k))).otherwise(
-        F.try_element_at(values, F.lit(-1))
-    )
+    return f"coalesce(try_element_at({values}, -{k}), try_element_at({values}, -1))"
 
 
 def _field(rows: str, name: str) -> Column:
@@ -323,25 +320,33 @@ def series_state(kpis: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     recent = kpis.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= HISTORY_ROWS)
     row = F.struct(DAY, *[F.col(c).cast("double").alias(c) for c in (REVENUE, *DAILY_DRIVERS)])
     rows = recent.groupBy(*series).agg(F.array_sort(F.collect_list(row)).alias("h"))
-    return rows.filter(F.size("h") > 0).select(
+    full = rows.filter(F.size("h") > 0).select(
         *series,
         F.element_at("h", -1)[DAY].alias(DAY),
         _field("h", REVENUE).alias("history"),
-        *[_tail(_field("h", d), DRIVER_ROWS).alias(f"h_{d}") for d in DAILY_DRIVERS],
+        *[_field("h", d).alias(f"h_{d}") for d in DAILY_DRIVERS],
     )
+    return full.withColumns({f"h_{d}": F.expr(_tail(f"h_{d}", DRIVER_ROWS)) for d in DAILY_DRIVERS})
 
 
 def next_day_features(state: DataFrame) -> DataFrame:
     """Move the state one day ahead and add that day's feature row."""
-    history = F.col("history")
-    columns: dict[str, Column] = {d: _mean(F.col(f"h_{d}")) for d in DAILY_DRIVERS}
-    for k in LAGS:
-        columns[f"fat_lag_{k}"] = _from_end(history, k)
-    for n in WINDOWS:
-        columns[f"fat_roll_mean_{n}"] = _mean(_tail(history, n))
-        columns[f"fat_roll_std_{n}"] = _spread(_tail(history, n))
     ahead = state.withColumn(DAY, F.date_add(DAY, 1))
-    return ahead.withColumns({**calendar_features(DAY), **columns})
+    lags = [f"{_from_end('history', k)} AS fat_lag_{k}" for k in LAGS]
+    means = [f"{_mean(_tail('history', n))} AS fat_roll_mean_{n}" for n in WINDOWS]
+    drivers = [f"{_mean(f'h_{d}')} AS {d}" for d in DAILY_DRIVERS]
+    calendar = [
+        f"weekday({DAY}) AS dia_semana",
+        f"month({DAY}) AS mes",
+        f"year({DAY}) AS ano",
+        f"weekofyear({DAY}) AS semana_ano",
+        f"int(weekday({DAY}) >= 5) AS is_weekend",
+        f"int(day({DAY}) = 1) AS is_month_start",
+        f"int(last_day({DAY}) = {DAY}) AS is_month_end",
+    ]
+    first = ahead.selectExpr("*", *calendar, *drivers, *lags, *means)
+    spreads = [f"{_spread(_tail('history', n), f'fat_roll_mean_{n}')} AS fat_roll_std_{n}" for n in WINDOWS]
+    return first.selectExpr("*", *spreads)
 
 
 def recursive_forecast(
@@ -359,16 +364,13 @@ def recursive_forecast(
     """
     nothing = F.array().cast(f"array<struct<{DAY}:date,{PREDICTION}:double>>")
     state = series_state(kpis, series).withColumn("path", nothing)
+    appended = [
+        f"{_tail('concat(history, array(prediction))', HISTORY_ROWS)} AS history",
+        *[f"{_tail(f'concat(h_{d}, array({d}))', DRIVER_ROWS)} AS h_{d}" for d in DAILY_DRIVERS],
+        f"concat(path, array(named_struct('{DAY}', {DAY}, '{PREDICTION}', prediction))) AS path",
+    ]
     for step in range(1, horizon_days + 1):
-        ahead = model.transform(next_day_features(state))
-        predicted = F.col("prediction")
-        state = ahead.select(
-            *series,
-            DAY,
-            _tail(F.concat("history", F.array(predicted)), HISTORY_ROWS).alias("history"),
-            *[_tail(F.concat(f"h_{d}", F.array(d)), DRIVER_ROWS).alias(f"h_{d}") for d in DAILY_DRIVERS],
-            F.concat("path", F.array(F.struct(F.col(DAY), predicted.alias(PREDICTION)))).alias("path"),
-        )
+        state = model.transform(next_day_features(state)).selectExpr(*series, DAY, *appended)
         if step % write_every == 0 and step < horizon_days:
             state = write_once(state)
     return state.select(*series, F.inline("path"))
@@ -378,19 +380,12 @@ def naive_forecast(
     kpis: DataFrame, kind: str = "naive_rolling7", horizon_days: int = 30, series: Sequence[str] = ()
 ) -> DataFrame:
     """M15 for a naive model: the whole recursion is one fold over the history array."""
-    rules: dict[str, Callable[[Column], Column]] = {
-        "naive_rolling7": lambda h: _mean(_tail(h, 7)),
-        "naive_lag7": lambda h: _from_end(h, 7),
-    }
-    rule = rules[kind]
-    state = series_state(kpis, series)
-    start = F.col("history").cast("array<double>")
-    grown = F.aggregate(
-        F.sequence(F.lit(1), F.lit(horizon_days)), start, lambda h, _: F.concat(h, F.array(rule(h)))
-    )
+    rules = {"naive_rolling7": _mean(_tail("h", 7)), "naive_lag7": _from_end("h", 7)}
+    grown = f"""aggregate(sequence(1, {horizon_days}), cast(history AS array<double>),
+        (h, _) -> concat(h, array({rules[kind]})), h -> slice(h, -{horizon_days}, {horizon_days}))"""
     return (
-        state.withColumn("path", F.slice(grown, -horizon_days, horizon_days))
-        .select(*series, DAY, F.posexplode("path").alias("_step", PREDICTION))
+        series_state(kpis, series)
+        .select(*series, DAY, F.posexplode(F.expr(grown)).alias("_step", PREDICTION))
         .select(*series, F.date_add(DAY, F.col("_step") + 1).alias(DAY), PREDICTION)
     )
 

@@ -97,8 +97,8 @@ def shifted_date(c: Column, hexed: Column) -> Column:
 def noisy_number(c: Column, hexed: Column) -> Column:
     """K5: a number times Normal(1, 0.15), two decimals, comma decimal mark."""
     normal = F.sqrt(-2 * F.ln(uniform(hexed, 0))) * F.cos(2 * math.pi * uniform(hexed, 1))
-    fake = parse_money(c) * (1 + NOISE * normal)
-    return F.coalesce(F.translate(F.format_string("%.2f", F.round(fake, 2)), ".", ","), c)
+    fake = F.round(parse_money(c) * (1 + NOISE * normal), 2)
+    return F.when(fake.isNull(), c).otherwise(F.translate(F.format_string("%.2f", fake), ".", ","))
 
 
 def _fake(rule: str, c: Column, hexed: Column) -> Column:

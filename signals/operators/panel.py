@@ -106,40 +106,35 @@ def propensity_panel(
     return snapshots.withColumns(_feature_columns(snap)).select(cols.customer, SNAPSHOT, *PROPENSITY_FEATURES, TARGET)
 
 
-def last_midnight(purchases: DataFrame, time: str) -> Column:
-    """The default as-of date, the day of the last purchase."""
-    return purchases.agg(F.to_date(F.max(time)).alias("as_of")).scalar()
-
-
 def scoring_base(
     purchases: DataFrame,
     as_of: date | datetime | None = None,
     cols: PurchaseCols = PurchaseCols(),
     lookback_days: int = 90,
     short_lookback_days: int = 30,
+    one_row_per_order: bool = False,
 ) -> DataFrame:
     """A4: the five features of every customer active in ``[as_of - lookback, as_of]``.
 
-    The window filter reaches the scan (P8): a literal ``as_of`` prunes files and row
-    groups at planning time, the default is resolved by a scalar subquery. Purchases
-    later on the as-of day are after midnight and therefore not yet visible.
+    The default as-of date (A7, F10) is the day of the last purchase. The window is
+    filtered on the raw time column (P8), so a literal ``as_of`` prunes partitions and row
+    groups at planning time; the default is one scalar subquery, resolved before the scan.
+    Purchases later on the as-of day are after midnight and therefore not yet visible.
     """
     dtype = dict(purchases.dtypes)[cols.time]
     time = F.col(cols.time)
     if as_of is not None:
-        anchor = F.lit(as_of).cast("date")
-        lo, hi = F.date_sub(anchor, lookback_days).cast(dtype), anchor.cast(dtype)
+        start = F.date_sub(F.lit(as_of).cast("date"), lookback_days)
     else:
-        day = F.to_date(F.max(time))
-        anchor = last_midnight(purchases, cols.time)
-        lo = purchases.agg(F.date_sub(day, lookback_days).cast(dtype).alias("lo")).scalar()
-        hi = purchases.agg(day.cast(dtype).alias("hi")).scalar()
-    short = time >= F.date_sub(anchor, short_lookback_days).cast(dtype)
+        start = purchases.agg(F.date_sub(F.to_date(F.max(time)), lookback_days).alias("start")).scalar()
+    anchor = F.date_add(start, lookback_days)
+    short = time >= F.date_add(start, lookback_days - short_lookback_days).cast(dtype)
+    orders = F.count(cols.order) if one_row_per_order else F.count_distinct(cols.order)
     return (
-        purchases.filter((time >= lo) & (time <= hi))
+        purchases.filter((time >= start.cast(dtype)) & (time <= anchor.cast(dtype)))
         .groupBy(cols.customer)
         .agg(
-            F.count_distinct(cols.order).alias("_orders"),
+            orders.alias("_orders"),
             F.sum(cols.value).alias("_spend"),
             F.sum(F.when(short, F.col(cols.value))).alias("_short"),
             F.max(next_midnight(time, dtype)).alias("_last"),

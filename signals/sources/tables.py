@@ -28,11 +28,15 @@ def read_report(spark: SparkSession, path: str, schema: StructType | str) -> Dat
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Write a parquet table, replacing what was there."""
-    writer = df.write.mode("overwrite")
+    """Write a parquet table, replacing what was there.
+
+    Partitioned tables are rebalanced first: few files per partition value, and a value
+    with a large share of the rows is split over several tasks and files.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, single_file: bool = False) -> None:

@@ -390,11 +390,13 @@ def uplift_vs_baseline_query(spark, d):
     return rounded(out, recall_uplift_pp=6, precision_uplift_pp=6, lift_model=6, lift_baseline=6)
 
 
-@query("uplift_tiles", f"""WITH {VERSUS_CTE} SELECT printf('%+.1f p.p.', round_even(recall_uplift_pp, 1)) recall_ganho,
-printf('%+.1f p.p.', round_even(precision_uplift_pp, 1)) precisao_ganho,
-printf('%.2fx', round_even(lift_model, 2)) lift_modelo FROM vs WHERE k = 50""")
+@query("uplift_tiles", f"""WITH {VERSUS_CTE} SELECT
+printf('%+.1f p.p.', round_even(round(recall_uplift_pp, 6) + 0.0::DOUBLE, 1)) recall_ganho,
+printf('%+.1f p.p.', round_even(round(precision_uplift_pp, 6) + 0.0::DOUBLE, 1)) precisao_ganho,
+printf('%.2fx', round_even(round(lift_model, 6), 2)) lift_modelo FROM vs WHERE k = 50""")
 def uplift_tiles_query(spark, d):
-    return uplift_tiles(uplift_vs_baseline(uplift_summary(_detail(spark, d))))
+    out = uplift_vs_baseline(uplift_summary(_detail(spark, d)))
+    return uplift_tiles(rounded(out, recall_uplift_pp=6, precision_uplift_pp=6, lift_model=6))
 
 
 # --- drift ------------------------------------------------------------------------------

@@ -11,8 +11,11 @@ _BLANKS = " \t\r\n\f\v"
 # A plain decimal number. The guard keeps out what a bare cast would accept ("1d", "inf").
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _MISSING_WORDS = ("", "nan", "none")
-# Day-first formats come first; ISO text is always year-month-day.
-DAY_FIRST_FORMATS = ("d/M/yyyy", "d/M/yyyy HH:mm:ss", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+# The date texts that are read: day first, or ISO (always year-month-day), with optional time.
+_DATE_SHAPE = (
+    r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})( [0-9]{2}:[0-9]{2}:[0-9]{2})?$"
+)
+_DAY_FIRST = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})"
 
 
 def _latin_table() -> tuple[str, str]:
@@ -71,10 +74,16 @@ def parse_money_or_zero(c: Column) -> Column:
     return F.coalesce(parse_money(c), F.lit(0.0))
 
 
-def parse_day_first(c: Column, formats: tuple[str, ...] = DAY_FIRST_FORMATS) -> Column:
-    """timestamp without zone from text, trying each format in turn; null when none fits."""
+def parse_day_first(c: Column) -> Column:
+    """timestamp without zone from text; null when no format fits or there is no such day.
+
+    Day-first text is turned into ISO order and cast. A cast answers null for a wrong date
+    without raising inside, which makes it several times faster than parsing by pattern,
+    and it does not involve the session time zone.
+    """
     text = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    iso = F.regexp_replace(text, _DAY_FIRST, "$3-$2-$1")
+    return F.when(text.rlike(_DATE_SHAPE), iso.try_cast("timestamp_ntz"))
 
 
 def parse_count(c: Column) -> Column:

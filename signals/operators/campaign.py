@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from signals.columns import PROPENSITY_FEATURES, SCORE, TARGET, CustomerCols
 from signals.functions.numeric import labelled_bin
 from signals.operators.ranking import full_ranking, top_k
-from signals.operators.tables import first_by_key, present, require_columns
+from signals.operators.tables import first_by_key, present, require_columns, spread
 from signals.sources.models import feature_list
 from signals.sources.scratch import write_once
 
@@ -59,7 +59,7 @@ def fit_propensity(
         featureSubsetStrategy="sqrt",
     )
     stages = [VectorAssembler(inputCols=used, outputCol="_features"), forest]
-    return Pipeline(stages=stages).fit(train.select(*used, label).withColumn("_weight", weight))
+    return Pipeline(stages=stages).fit(spread(train.select(*used, label)).withColumn("_weight", weight))
 
 
 def score_with(model: PipelineModel, df: DataFrame, name: str = SCORE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signals.columns import PROPENSITY_FEATURES, SNAPSHOT, TARGET, PurchaseCols
-from signals.functions.calendar import next_midnight, weekly_dates
+from signals.functions.calendar import first_weekday_from, next_midnight, week_numbers
 from signals.functions.numeric import ratio, ratio_or_zero
 
 
@@ -82,15 +82,14 @@ def propensity_panel(
     first, last = span.select("lo").scalar(), span.select("hi").scalar()
     days = _purchase_days(purchases, cols, lookback_days, one_row_per_order)
     seen, snap = F.col("_seen"), F.col(SNAPSHOT)
+    # A fixed count: run-time merging goes by the size before the rows multiply.
+    slots = int(purchases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = F.date_add("_day", lookback_days)
     snapshots = (
-        days.repartition(cols.customer)
-        .withColumn(
-            SNAPSHOT,
-            F.explode(
-                weekly_dates(F.greatest(F.date_sub(seen, horizon_days), first), F.least(leaves, last), weekday)
-            ),
-        )
+        days.repartition(slots, cols.customer)
+        .withColumn("_from", F.greatest(F.date_sub(seen, horizon_days), first))
+        .withColumn("_week", F.explode(week_numbers(F.col("_from"), F.least(leaves, last), weekday)))
+        .withColumn(SNAPSHOT, F.date_add(first_weekday_from(F.col("_from"), weekday), F.col("_week") * 7))
         .groupBy(cols.customer, SNAPSHOT)
         .agg(
             F.sum(F.when(snap.between(seen, F.col("_until")), F.col("_n"))).alias("_orders"),

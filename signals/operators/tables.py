@@ -40,6 +40,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows in at least as many partitions as there are task slots.
+
+    For inputs of iterative training only: a few small files would leave most slots idle
+    in every pass. Inputs with enough partitions are left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
     """One whole row per key, the first in ``order_by`` order.
 

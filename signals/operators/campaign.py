@@ -27,6 +27,8 @@ ACTION_PREMIUM = "Oferta premium"
 ACTION_WIN_BACK = "Reativacao imediata"
 PREMIUM_MAX_RECENCY = 14
 CAMPAIGN_SIZE = 100
+# Lists up to this size are gathered in one task and broadcast; longer ones never are.
+SMALL_LIST = 10_000
 
 
 def fit_propensity(
@@ -104,8 +106,12 @@ def campaign_list(
 
     Scores are ranked before names are looked up. The list of at most ``size`` rows is
     written once, its keys (bounded by ``size``) filter the customer scan, and only the
-    matching names are deduplicated and joined, so the customer table is not shuffled.
+    matching names are deduplicated and joined, so the customer table is not shuffled. A
+    list beyond ``SMALL_LIST`` is cut from the full ranking instead, without a broadcast.
     """
+    if size > SMALL_LIST:
+        whole = scored_list(scored, customers, key, score, cols, features)
+        return whole.filter(F.col("rank") <= size)
     top = write_once(top_k(scored, score, key, size))
     wanted = F.broadcast(top.select(F.col(key).alias(cols.customer)))
     found = customers.select(cols.customer, cols.name).join(wanted, cols.customer, "left_semi")

@@ -95,7 +95,11 @@ def rank_areas(df: DataFrame, label: str, score: str = "score", by: str = "strat
             F.sum("bn").over(whole).alias("n_all"),
         )
     )
-    inside = Window.partitionBy(by, "_block").orderBy(F.col(score).desc())
+    inside = (
+        Window.partitionBy(by, "_block")
+        .orderBy(F.col(score).desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     running = (
         blocks.withColumns({"tp": F.sum("p").over(inside), "nn": F.sum("n").over(inside)})
         .join(F.broadcast(offsets), [by, "_block"])
@@ -108,11 +112,35 @@ def rank_areas(df: DataFrame, label: str, score: str = "score", by: str = "strat
     )
 
 
+def group_ranking(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "_rn") -> DataFrame:
+    """Rank 1..n inside every group without sorting a whole group in one task.
+
+    Rows are sorted into blocks by group and order, so a hot group covers many blocks. A
+    rank is the group's rows in earlier blocks plus the place inside this block's part of
+    the group. The part table has one row per (group, block) that meet.
+    """
+    blocks = ordered_blocks(df, [*[F.col(c).asc() for c in by], *order])
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        blocks.groupBy(*by, "_block")
+        .agg(F.count(F.lit(1)).alias("_size"), F.min("_position").alias("_first"))
+        .withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1)
+        .select(*by, "_block", "_shift")
+    )
+    ranked = blocks.join(parts, [*by, "_block"]).withColumn(name, F.col("_position") + F.col("_shift"))
+    return ranked.select(*df.columns, name)
+
+
 def top_rows(df: DataFrame, by: Sequence[str], score: str, key: Sequence[str], k: int) -> DataFrame:
     """O3: the k best rows of every group, numbered ``_rn``.
 
     Spark limits each group inside every map task before the shuffle, so a hot group sends
-    at most k rows per task.
+    at most k rows per task. It does so up to a session limit on k; beyond it the groups
+    are ranked in blocks.
     """
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), *[F.col(c).asc() for c in key])
+    order = [F.col(score).desc(), *[F.col(c).asc() for c in key]]
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k >= limit:
+        return group_ranking(df, by, order).filter(F.col("_rn") <= k)
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from signals.columns import DAY, REVENUE
 from signals.operators.forecast import (
+    FORECAST_FEATURES,
+    LEAK_FREE_FEATURES,
     LEARNED_MODELS,
     PREDICTION,
     backtest_summary,
@@ -41,6 +43,11 @@ def _models(ws: Workspace):
     return regressors(s.forest_trees, s.forest_depth, s.boost_rounds, s.boost_depth, s.seed)
 
 
+def _features(ws: Workspace) -> tuple[str, ...]:
+    """``leak_free`` leaves out the same-day drivers, which no real forecast can know."""
+    return LEAK_FREE_FEATURES if ws.sizes.leak_free else FORECAST_FEATURES
+
+
 def _candidate(name: str) -> str:
     return f"forecast_model_{name}"
 
@@ -49,7 +56,7 @@ def train(ws: Workspace) -> None:
     """Naive and learned models on the first part of the days, compared on the rest."""
     features = write_once(forecast_features(ws.table("kpis_diarios")))
     split = holdout_split(features, train_ratio=ws.sizes.train_ratio)
-    fitted = train_candidates(training_rows(split), _models(ws))
+    fitted = train_candidates(training_rows(split), _models(ws), _features(ws))
     for name, model in fitted.items():
         save_model(model, ws.path(_candidate(name)))
     predictions = write_once(holdout_predictions(held_out_rows(split), fitted))
@@ -57,6 +64,7 @@ def train(ws: Workspace) -> None:
     ws.report(table.orderBy("model"), "forecast_model_comparison")
     ws.report(production_metrics(table, split, tuple(fitted)), "forecast_metrics")
     winner = best_by(table, "wape", tuple(fitted))
+    save_model(fitted[winner.first()["model"]], ws.path("forecast_model_experimental"))
     best = predictions.join(F.broadcast(winner), "model", "left_semi")
     ws.report(best.select(DAY, REVENUE, PREDICTION).orderBy(DAY), "forecast_predictions_test")
 
@@ -65,7 +73,9 @@ def backtest(ws: Workspace) -> None:
     s = ws.sizes
     folds = {"initial_ratio": s.first_train_ratio, "test_size": s.fold_days, "step": s.fold_days}
     features = write_once(forecast_features(ws.table("kpis_diarios")))
-    learned = learned_backtest(features, _models(ws), parallel_fits=s.parallel_fits, **folds)
+    learned = learned_backtest(
+        features, _models(ws), feature_cols=_features(ws), parallel_fits=s.parallel_fits, **folds
+    )
     detail = write_once(naive_backtest(features, **folds).unionByName(learned))
     ws.report(detail.orderBy("model", "fold"), "forecast_backtest_detail")
     ws.report(backtest_summary(detail).orderBy("wape_mean"), "forecast_backtest_summary")
@@ -84,12 +94,18 @@ def select(ws: Workspace) -> None:
     ws.report(chosen.withColumn("artifact", F.lit(ws.path("forecast_model"))), "forecast_model_selection")
 
 
-def predict(ws: Workspace) -> None:
-    model = load_model(ws.path("forecast_model"))
+def predict(ws: Workspace, artifact: str = "forecast_model") -> None:
+    model = load_model(ws.path(artifact))
     future = recursive_forecast(ws.table("kpis_diarios"), model, ws.sizes.forecast_days)
     ws.report(future.orderBy(DAY), "forecast_future_30d")
 
 
+def train_and_predict(ws: Workspace) -> None:
+    """Forecast with the hold-out winner, without a backtest."""
+    train(ws)
+    predict(ws, "forecast_model_experimental")
+
+
 def run_forecast_step(ws: Workspace) -> None:
     train(ws)
     backtest(ws)

@@ -29,6 +29,7 @@ class Sizes:
     first_train_ratio: float = 0.6
     recent_days: int = 30
     campaign_size: int = 100
+    leak_free: bool = False
     seed: int = 42
     parallel_fits: int = 4
 

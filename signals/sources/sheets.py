@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from signals.functions.text import fold_text, strip
+from signals.functions.text import fold_text
 from signals.operators.masking import has_hint, mask_table, masked_row, rule_for
 from signals.sources.tables import path_exists
 
@@ -55,6 +56,12 @@ def read_top_lines(spark: SparkSession, file: str, n_columns: int, lines: int =
     return top.withColumn(LINE, F.monotonically_increasing_id().cast("int"))
 
 
+def sheet_width(spark: SparkSession, file: str) -> int:
+    """Number of cells of the widest of the first ten lines of one file."""
+    lines = [r[0] for r in spark.read.text(file).limit(SCAN_LINES).collect()]
+    return max((len(cells) for cells in csv.reader(lines)), default=0)
+
+
 def _cells(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != LINE]
 
@@ -147,7 +154,3 @@ def mask_files(
             masked.write.mode("overwrite").parquet(f"{target_root}/{name}")
             done.append(name)
     return done
-
-
-def trimmed(df: DataFrame) -> DataFrame:
-    return df.select(*[strip(F.col(c)).alias(c) for c in df.columns])

@@ -13,8 +13,18 @@ from signals.operators.evaluation import (
     uplift_summary,
     uplift_vs_baseline,
 )
+from signals.operators import campaign
 from signals.operators.campaign import campaign_list, priority, scored_list, suggested_action
-from signals.operators.ranking import full_ranking, long_scores, ordered_blocks, rank_areas, recency_score, top_k
+from signals.operators.ranking import (
+    full_ranking,
+    group_ranking,
+    long_scores,
+    ordered_blocks,
+    rank_areas,
+    recency_score,
+    top_k,
+    top_rows,
+)
 from signals.operators.splits import (
     cutoff_date,
     fold_rows,
@@ -144,7 +154,22 @@ def test_full_ranking_cuts_a_shared_score(spark, many_blocks):
     assert [(r["rank"], r["id"]) for r in top] == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 7)]
 
 
-def test_campaign_list(spark):
+def test_group_ranking_and_large_k(spark, many_blocks):
+    rng = random.Random(9)
+    data = [("hot" if rng.random() < 0.6 else f"g{rng.randint(0, 3)}", i, round(rng.random(), 1)) for i in range(1500)]
+    df = spark.createDataFrame(data, "g string, id int, score double")
+    expected = {}
+    for g in {r[0] for r in data}:
+        rows = sorted((-s, i) for h, i, s in data if h == g)
+        expected.update({i: n for n, (_, i) in enumerate(rows, 1)})
+    ranked = group_ranking(df, ["g"], [F.col("score").desc(), F.col("id").asc()]).collect()
+    assert {r["id"]: r["_rn"] for r in ranked} == expected
+    for k in (700, 1200):
+        top = top_rows(df, ["g"], "score", ["id"], k).collect()
+        assert {r["id"]: r["_rn"] for r in top} == {i: n for i, n in expected.items() if n <= k}
+
+
+def test_campaign_list(spark, monkeypatch):
     data = [(str(i), i / 10, 30 if i % 2 else 3, 1, 1.0, 1.0, 0.5) for i in range(11)]
     columns = (
         "id_cliente string, score_recompra_30d double, recency int, frequency_lookback int, monetary_lookback double,"
@@ -162,6 +187,8 @@ def test_campaign_list(spark):
     assert out[7]["prioridade"] == "Baixa" and out[7]["acao_sugerida"] == "Contato padrao"
     whole = scored_list(df, people).orderBy("rank").collect()
     assert len(whole) == 11 and [tuple(r) for r in whole[:8]] == [tuple(r) for r in out]
+    monkeypatch.setattr(campaign, "SMALL_LIST", 5)
+    assert campaign_list(df, people, size=8).orderBy("rank").collect() == out
 
 
 def test_priority_outside_range_is_null(spark):

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 from datetime import date
 
 import pytest
 
+from signals.__main__ import main
 from signals.catalog.cleaning import raw_customers, raw_factory_orders, raw_purchases
 from signals.operators.reports import drift_view, forecast_view, model_tiles, propensity_view, uplift_tiles
-from signals.plans.forecast_step import select
+from signals.plans.forecast_step import select, train_and_predict
 from signals.plans.weekly import run_weekly
 from signals.plans.workspace import Sizes, Workspace
 from signals.sources.models import feature_list, load_model
@@ -71,6 +73,25 @@ def test_models(ws):
     assert len(feature_list(load_model(ws.path("forecast_model")))) == 22
 
 
+def test_quick_forecast_without_same_day_drivers(ws):
+    quick = Workspace(ws.spark, ws.root, sizes=replace(ws.sizes, leak_free=True, forecast_days=3))
+    train_and_predict(quick)
+    model = load_model(ws.path("forecast_model_experimental"))
+    assert len(feature_list(model)) == 18
+    assert csv(ws, "forecast_future_30d").count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    path = str(tmp_path / "people")
+    raw_customers(spark, SF_DIR).write.parquet(path)
+    main(["mask", "--customers", path, "--purchases", str(tmp_path / "none"), "--out", str(tmp_path / "out"), "--salt", "s"])
+    masked = spark.read.parquet(str(tmp_path / "out" / "customers"))
+    assert masked.count() == raw_customers(spark, SF_DIR).count()
+    assert masked.filter("Codigo not like 'ID%'").count() == 0
+    with pytest.raises(SystemExit):
+        main(["all", "--out", str(tmp_path)])
+
+
 def test_selection_needs_its_inputs(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         select(Workspace(spark, str(tmp_path)))

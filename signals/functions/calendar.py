@@ -50,8 +50,10 @@ def next_midnight(c: Column, dtype: str) -> Column:
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """elapsed 24-hour periods between two moments."""
-    return F.timestamp_diff("DAY", start, end)
+    """elapsed 24-hour periods between two moments, rounded down (also below zero)."""
+    elapsed = end - start
+    days = F.extract(F.lit("DAY"), elapsed).cast("int")
+    return F.when(elapsed < F.make_dt_interval(days), days - 1).otherwise(days).cast("long")
 
 
 def first_weekday_from(day: Column, name: str) -> Column:

@@ -30,8 +30,12 @@ def metrics_at_k(
     """One row per (group, k) with recall, precision, lift and base rate.
 
     Group totals come from a combining aggregate over all rows and hits from the top rows
-    only; the two meet as one small row per group, and all k share one pass.
+    only; the two meet as one small row per group, and all k share one pass. Without ``by``
+    the whole input is one group.
     """
+    if not by:
+        single = metrics_at_k(scored.withColumn("_all", F.lit(1)), ["_all"], key, label, score, ks)
+        return single.drop("_all")
     totals = scored.groupBy(*by).agg(
         F.sum(F.col(label).cast("long")).alias("positives"), F.count(F.lit(1)).alias("n")
     )

@@ -107,11 +107,34 @@ def check_table(df: DataFrame, rules: TableRules) -> DataFrame:
         issues.append(_issue(name, "invalid_dates", "warning", text, n > 0))
     if not issues:
         return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    columns = [c.alias(k) for k, c in measured.items()] or [F.count(F.lit(1)).alias("rows")]
-    found = df.agg(*columns).select(F.explode(F.array_compact(F.array(*issues))).alias("issue"))
+    if measured:
+        facts = df.agg(*[c.alias(k) for k, c in measured.items()])
+    else:
+        facts = df.sparkSession.range(1)
+    found = facts.select(F.explode(F.array_compact(F.array(*issues))).alias("issue"))
     return found.select("issue.*")
 
 
+def check_required(df: DataFrame, dataset: str, required: Sequence[str]) -> DataFrame:
+    """Q1: an error when required columns are missing (no job)."""
+    return check_table(df, TableRules(dataset, required=required))
+
+
+def check_duplicates(df: DataFrame, dataset: str, keys: Sequence[str]) -> DataFrame:
+    """Q2: a warning for repeated keys; nothing when a key column is absent."""
+    return check_table(df, TableRules(dataset, keys=keys))
+
+
+def check_nulls(df: DataFrame, dataset: str, max_null: Mapping[str, float]) -> DataFrame:
+    """Q3: a warning per column whose null ratio exceeds its limit."""
+    return check_table(df, TableRules(dataset, max_null=max_null))
+
+
+def check_dates(df: DataFrame, dataset: str, date: str) -> DataFrame:
+    """Q4: a warning counting missing or unreadable dates."""
+    return check_table(df, TableRules(dataset, date=date))
+
+
 def quality_report(
     purchases: DataFrame,
     customers: DataFrame,

@@ -8,6 +8,10 @@ from signals.operators.clean import clean_customers, clean_factory_orders, clean
 from signals.operators.quality import (
     PURCHASE_RULES,
     TableRules,
+    check_dates,
+    check_duplicates,
+    check_nulls,
+    check_required,
     check_table,
     empty_report,
     enforce_gate,
@@ -84,6 +88,17 @@ def test_missing_columns_stop_the_batch(spark):
         enforce_gate(report)
 
 
+def test_single_checks(spark):
+    df = spark.createDataFrame([("a", None), ("a", "01/01/2024")], "k string, d string")
+    assert check_required(df, "t", ["z"]).first()["severity"] == "error"
+    assert check_required(df, "t", ["k"]).count() == 0
+    assert check_duplicates(df, "t", ["k"]).first()["details"].startswith("1 duplicated")
+    assert check_duplicates(df, "t", ["z"]).count() == 0
+    assert check_nulls(df, "t", {"d": 0.4, "z": 0.1}).first()["details"] == "d: null_ratio=0.500 > 0.400"
+    assert check_dates(df, "t", "d").first()["rule"] == "invalid_dates"
+    assert check_dates(df, "t", "z").count() == 0
+
+
 def test_null_keys_count_as_duplicates(spark):
     df = spark.createDataFrame([(None,), (None,), ("a",), ("a",), ("b",)], "k string")
     issue = check_table(df, TableRules("t", keys=("k",))).first()

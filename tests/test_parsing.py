@@ -76,10 +76,11 @@ def test_whole_days_and_next_midnight(spark):
     r = df.select(
         whole_days(F.col("a"), F.col("b")).alias("ab"),
         whole_days(F.col("a"), F.col("c")).alias("ac"),
+        whole_days(F.col("b"), F.col("a")).alias("ba"),
         next_midnight(F.col("a"), "timestamp_ntz").alias("na"),
         next_midnight(F.col("b"), "timestamp_ntz").alias("nb"),
     ).first()
-    assert (r["ab"], r["ac"]) == (0, 1)
+    assert (r["ab"], r["ac"], r["ba"]) == (0, 1, -1)
     assert str(r["na"]) == "2024-01-02" and str(r["nb"]) == "2024-01-02"
 
 

@@ -101,6 +101,11 @@ def test_precision(spark, y, k, precision):
     assert at_k(spark, y, k)["precision_at_k"] == precision
 
 
+def test_one_group(spark):
+    r = metrics_at_k(scored(spark, [1, 0, 1, 0], [4, 3, 2, 1]), [], ["id"], "y", ks=(1,)).first()
+    assert (r["k"], r["recall_at_k"], r["precision_at_k"], r["lift_at_k"], r["n"]) == (1, 0.5, 1.0, 2.0, 4)
+
+
 def test_lift_and_monotone_recall(spark):
     y = [1, 1, 1] + [0] * 7
     assert at_k(spark, y, 3)["lift_at_k"] == pytest.approx(10 / 3)

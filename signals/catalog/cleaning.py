@@ -381,7 +381,33 @@ def mask_customers(spark, d):
     return mask_table(_personal(spark, d), SALT, ["Codigo"])
 
 
-@query("mask_sheet")
+def _masked_sheet_sql() -> str:
+    def h(column: str) -> str:
+        return _digest_sql(column, "CAST(ln AS VARCHAR)")
+
+    def ident(x: str) -> str:
+        text = f"trim({x})"
+        hidden = f"'ID' || substr(sha256('{SALT}|' || {text}), 1, 16)"
+        return f"CASE WHEN lower({text}) IN ('', 'nan', 'none') THEN {text} ELSE {hidden} END"
+
+    def number(column: str, x: str) -> str:
+        normal = f"sqrt(-2 * ln({_uniform_sql(h(column), 0)})) * cos(2 * pi() * {_uniform_sql(h(column), 1)})"
+        fake = f"round({parse_money_sql(x)} * (1 + 0.15::DOUBLE * {normal}), 2)"
+        return f"coalesce(replace(printf('%.2f', {fake}), '.', ','), {x})"
+
+    shift = f"CAST({_draw_sql(h('c6'), 0, 181)} - 90 AS INTEGER)"
+    moved = f"strftime(CAST({parse_date_sql('dt')} AS DATE) + {shift}, '%d/%m/%Y')"
+    head = "'OP', 'Origem', 'Cód. Cliente', 'Qtde Itens', 'Valor Total', 'Valor Desconto', 'Data', '  '"
+    return f"""WITH {RAW_PURCHASES},
+src AS (SELECT o_orderkey + 3 ln, ' ' || o_orderkey op, o_orderpriority pri, cust, q, v, dsc, dt, 'nota' nt FROM rp0
+  UNION ALL SELECT 0, 'Relatorio de vendas', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 1, 'Filial 1', '2024', NULL, NULL, NULL, NULL, NULL, NULL)
+SELECT ln _line, {ident("op")} c0, pri c1, {ident("cust")} c2, {number("c3", "q")} c3, {number("c4", "v")} c4,
+{number("c5", "dsc")} c5, coalesce({moved}, dt) c6, nt c7 FROM src
+UNION ALL SELECT 2, {head}"""
+
+
+@query("mask_sheet", _masked_sheet_sql())
 def mask_sheet_query(spark, d):
     """The purchase sheet with its ids, dates and amounts masked, banner and header kept."""
     return mask_sheet(purchase_sheet(spark, d), 2, SALT)

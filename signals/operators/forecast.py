@@ -187,23 +187,26 @@ def production_metrics(
     def day(agg: Callable, part: Column) -> Column:
         return agg(F.when(part, F.col(DAY)))
 
-    one = F.lit(1).alias("_one")
-    bounds = split.groupBy(*series, one).agg(
+    sides = [
         F.count_if(train).alias("train_rows"),
         F.count_if(test).alias("test_rows"),
         day(F.min, train).alias("train_start"),
         day(F.max, train).alias("train_end"),
         day(F.min, test).alias("test_start"),
         day(F.max, test).alias("test_end"),
-    )
-    chosen = best_by(table, "wape", candidates, series)
-    return (
-        table.join(chosen, [*series, "model"], "left_semi")
+    ]
+    eligible = table.filter(F.col("model").isin(*candidates)) if candidates is not None else table
+    place = F.row_number().over(Window.partitionBy(*series).orderBy("wape", "model"))
+    best = (
+        eligible.withColumn("_place", place)
+        .filter(F.col("_place") == 1)
+        .drop("_place")
         .withColumnRenamed("wape_uplift_vs_baseline", "wape_uplift_vs_best_baseline")
-        .withColumn("_one", F.lit(1))
-        .join(bounds, [*series, "_one"])
-        .drop("_one")
     )
+    if series:
+        return best.join(split.groupBy(*series).agg(*sides), list(series))
+    whole = split.agg(F.struct(*sides).alias("s")).scalar()
+    return best.withColumn("_s", whole).select(*best.columns, "_s.*")
 
 
 # --- backtest ---------------------------------------------------------------------------

@@ -67,6 +67,8 @@ def main(argv: list[str] | None = None) -> None:
             drop_scratch(spark)
         return
     if args["step"] == "mask":
+        # One wide projection: compiled in parts it stays within what the JVM optimises.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
         for name in INPUTS:
             path = args[name]
             if path and path_exists(spark, path):

@@ -98,7 +98,16 @@ def noisy_number(c: Column, hexed: Column) -> Column:
     """K5: a number times Normal(1, 0.15), two decimals, comma decimal mark."""
     normal = F.sqrt(-2 * F.ln(uniform(hexed, 0))) * F.cos(2 * math.pi * uniform(hexed, 1))
     fake = F.round(parse_money(c) * (1 + NOISE * normal), 2)
-    return F.when(fake.isNull(), c).otherwise(F.translate(F.format_string("%.2f", fake), ".", ","))
+    return F.coalesce(F.translate(fake.cast("decimal(38,2)").cast("string"), ".", ","), c)
+
+
+def _joined(*parts: Column | str) -> Column:
+    """Text from parts; plain concatenation is much cheaper per row than a format string."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _padded(c: Column, width: int) -> Column:
+    return F.lpad(c.cast("string"), width, "0")
 
 
 def _fake(rule: str, c: Column, hexed: Column) -> Column:
@@ -109,14 +118,14 @@ def _fake(rule: str, c: Column, hexed: Column) -> Column:
         return F.concat(F.lit("cliente"), F.substring(hexed, 1, 12), F.lit("@example.com"))
     if rule == "phone":
         parts = (draw(hexed, 0, 88) + 11, draw(hexed, 1, 9999) + 90000, draw(hexed, 2, 8999) + 1000)
-        return F.format_string("(%d) %d-%d", *parts)
+        return _joined("(", parts[0], ") ", parts[1], "-", parts[2])
     if rule == "document":
-        parts = (draw(hexed, 0, 1000), draw(hexed, 1, 1000), draw(hexed, 2, 1000), draw(hexed, 3, 100))
-        return F.format_string("%03d.%03d.%03d-%02d", *parts)
+        groups = [_padded(draw(hexed, i, 1000), 3) for i in range(3)]
+        return _joined(groups[0], ".", groups[1], ".", groups[2], "-", _padded(draw(hexed, 3, 100), 2))
     if rule == "postcode":
-        return F.format_string("%d-%d", draw(hexed, 0, 89999) + 10000, draw(hexed, 1, 899) + 100)
+        return _joined(draw(hexed, 0, 89999) + 10000, "-", draw(hexed, 1, 899) + 100)
     if rule == "address":
-        return F.format_string("%s, %d", choose(hexed, 0, STREETS), draw(hexed, 1, 989) + 10)
+        return _joined(choose(hexed, 0, STREETS), ", ", draw(hexed, 1, 989) + 10)
     if rule == "city":
         return choose(hexed, 0, CITIES)
     if rule == "state":

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signals.llm.bpe import encode_texts
 from signals.llm.chat import DEFAULT_TEMPLATE, format_chats, read_chats
 from signals.llm.exact_dedup import exact_duplicates
 from signals.llm.mixing import pareto_mix
+from signals.llm.simhash import simhash_groups
+from signals.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +88,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_simhash_pivots")
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and the smallest id that links of at most two bits reach."""
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+
+
 @query(
     "op3_source_mixing",
     sql=r"""
@@ -131,6 +141,19 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model that never saw the label of a held-out one."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score_toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query(
     "op8_exact_dedup",
     sql="""
@@ -143,3 +166,18 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays for its text; texts are compared unchanged."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op10_bpe_tree")
+def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts encoded and decoded, with digests of the ids and of the decoded text."""
+    coded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

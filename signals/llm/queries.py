@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from signals.llm.bpe import encode_texts
 from signals.llm.chat import DEFAULT_TEMPLATE, format_chats, read_chats
 from signals.llm.exact_dedup import exact_duplicates
+from signals.llm.html_extract import extract_main_text
+from signals.llm.line_dedup import remove_spread_lines
 from signals.llm.mixing import pareto_mix
 from signals.llm.simhash import simhash_groups
 from signals.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from signals.llm.vafile import top_inner_products
+from signals.llm.warc import archive_pages
+from signals.sources.scratch import write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +146,47 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Lines found on this many of the sources or more are boilerplate, if they have this many words.
+MIN_SITES, MIN_WORDS = 10, 4
+
+
+@query(
+    "op4_line_dedup",
+    sql=rf"""
+    WITH l AS (
+        SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) AS place
+        FROM documents
+    ), k AS (
+        SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key,
+            regexp_matches(line, '^[ 	-]*([^ 	-]+[ 	-]+){{{{{MIN_WORDS - 1}}}}}[^ 	-]') AS long
+        FROM l
+    ), b AS (
+        SELECT key FROM k WHERE long GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}
+    ), m AS (
+        SELECT doc_id, place, line, long AND key IN (SELECT key FROM b) AS out FROM k
+    ), t AS (
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT out) AS text,
+            count(*) AS lines, count_if(out)::BIGINT AS lines_removed
+        FROM m GROUP BY doc_id
+    )
+    SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text,
+        coalesce(t.lines, 0)::BIGINT AS lines, coalesce(t.lines_removed, 0)::BIGINT AS lines_removed
+    FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+    """.replace("{{", "{").replace("}}", "}"),
+)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that many sources share."""
+    clean = remove_spread_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, min_words=MIN_WORDS)
+    return clean.select("doc_id", "text", "lines", "lines_removed")
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, from the whole html."""
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model that never saw the label of a held-out one."""
@@ -154,6 +200,29 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op7_exact_topk",
+    sql="""
+    WITH v AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+    ), r AS (
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+)
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 @query(
     "op8_exact_dedup",
     sql="""
@@ -168,6 +237,44 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op9_warc_segments",
+    sql="""
+    WITH p AS (
+        SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes
+        FROM pages
+    ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS origin FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 100 AND page_id <> origin THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 100 AND page_id <> origin THEN origin END AS refers_to
+    FROM f
+    """,
+)
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives in segments and read back, revisits resolved to the record they name."""
+    read = archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = write_once(
+        read.select(
+            "page_id",
+            "record_id",
+            "record_type",
+            "refers_to_id",
+            F.octet_length("payload").cast("long").alias("payload_bytes"),
+            F.sha2("payload", 256).alias("payload_digest"),
+        )
+    )
+    responses = records.where(F.col("record_type") == "response")
+    own = responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    target = responses.groupBy("record_id").agg(
+        F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("n"), F.max("payload_digest").alias("digest")
+    )
+    revisits = records.where(F.col("record_type") == "revisit").select("page_id", "record_type", "refers_to_id")
+    resolved = revisits.join(target, F.col("refers_to_id") == F.col("record_id"), "left").select(
+        "page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+    return own.unionByName(resolved)
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 

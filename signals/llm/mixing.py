@@ -67,9 +67,12 @@ def pareto_mix(
     source_col: str = "source",
     weights: Sequence[int] = (1, 2, 3),
     cap: int = 3,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, copies, taken, row``.
 
+    ``carry`` names columns to bring along in a struct ``carried``, so that copies need no join to be made.
+
     A source that needs r times its words gets floor(r) certain copies of each document. The remaining
     fraction is the inclusion chance p of one more copy: documents are ranked by the odds of a
     repeatable uniform draw divided by the odds of p, and taken in that order while their words fit
@@ -90,6 +93,7 @@ def pareto_mix(
             word_count(F.col(text_col)).alias("size"),
             uniform(F.col(id_col)).alias("draw"),
             F.monotonically_increasing_id().alias("row"),
+            *([F.struct(*carry).alias("carried")] if carry else []),
         ).withColumn("slice", F.floor(F.col("draw") * SLICES).cast("int"))
     )
     slices = write_once(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")))
@@ -146,7 +150,7 @@ def pareto_mix(
         _with(rows, write_once(_with(state, closing, "left")))
         .withColumn("copies", F.col("whole") + taken.cast("long") + closes.cast("long"))
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "row")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "row", *(["carried"] if carry else []))
     )
 
 

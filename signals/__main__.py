@@ -2,9 +2,9 @@
 
     python -m signals all --purchases P --customers C --factory-orders F --out OUT
     python -m signals forecast-predict --out OUT
-    python -m signals mask --purchases P --customers C --factory-orders F --out OUT --salt S
+    python -m signals mask --customers C --out OUT --salt S --row-key "Cod. Cliente" --hide-unknown-text
 
-Inputs are parquet tables of text columns, or single exported CSV sheets (``.csv``).
+Inputs are parquet tables of text columns, or exported CSV sheets (a ``.csv`` file or a pattern of them).
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signals.operators.masking import mask_table
+from signals.operators.masking import mask_rows
 from signals.plans import forecast_step, propensity_step
 from signals.plans.data_step import run_data_step
 from signals.plans.monitoring_step import run_monitoring_step
 from signals.plans.weekly import run_weekly
 from signals.plans.workspace import Sizes, Workspace
-from signals.sources.scratch import drop_scratch
-from signals.sources.sheets import ingest_sheets, sheet_width
+from signals.sources.scratch import drop_scratch, scratch_run
+from signals.sources.sheets import ingest_sheets
 from signals.sources.tables import path_exists
 
 INPUTS = ("purchases", "customers", "factory_orders")
@@ -41,7 +41,7 @@ STEPS = {
 
 def read_input(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
-        return ingest_sheets(spark, path, path, sheet_width(spark, path))
+        return ingest_sheets(spark, path)
     return spark.read.parquet(path)
 
 
@@ -49,31 +49,38 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="signals")
     parser.add_argument("step", choices=["all", "data", "mask", *STEPS])
     parser.add_argument("--out", required=True)
-    parser.add_argument("--salt", default="")
+    parser.add_argument("--salt")
+    parser.add_argument("--row-key", nargs="+", help="columns that tell rows apart; by default a digest of the row")
+    parser.add_argument("--hide-unknown-text", action="store_true")
     for name in INPUTS:
         parser.add_argument("--" + name.replace("_", "-"))
     for name, value in vars(Sizes()).items():
         if not isinstance(value, bool):
             parser.add_argument("--" + name.replace("_", "-"), type=type(value), default=value)
     parser.add_argument("--leak-free", action="store_true")
+    parser.add_argument("--one-row-per-order", action="store_true")
     args = vars(parser.parse_args(argv))
 
     spark = SparkSession.builder.appName("signals").getOrCreate()
     ws = Workspace(spark, args["out"], sizes=Sizes(**{k: args[k] for k in vars(Sizes())}))
     if args["step"] in STEPS:
-        try:
-            STEPS[args["step"]](ws)
-        finally:
-            drop_scratch(spark)
+        with scratch_run() as run:
+            try:
+                STEPS[args["step"]](ws)
+            finally:
+                drop_scratch(spark, run)
         return
     if args["step"] == "mask":
+        if not args["salt"]:
+            parser.error("step mask needs --salt")
         # One wide projection: compiled in parts it stays within what the JVM optimises.
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
         for name in INPUTS:
             path = args[name]
             if path and path_exists(spark, path):
                 raw = read_input(spark, path)
-                mask_table(raw, args["salt"], raw.columns).write.mode("overwrite").parquet(ws.path(name))
+                masked = mask_rows(raw, args["salt"], args["row_key"] or (), args["hide_unknown_text"])
+                masked.write.mode("overwrite").parquet(ws.path(name))
         return
     missing = [n for n in INPUTS if not args[n]]
     if missing:

@@ -24,7 +24,8 @@ from signals.operators.masking import (
     mask_table,
 )
 from signals.operators.quality import gate_status, quality_report
-from signals.sources.sheets import LINE, header_line, mask_sheet, numbered_body, text_schema
+from signals.sources.scratch import scratch_path
+from signals.sources.sheets import HEADER_HINTS, LINE, header_line, ingest_sheets, mask_sheet, numbered_body, text_schema
 
 # --- raw text, in Spark -----------------------------------------------------------------
 
@@ -303,11 +304,65 @@ def purchase_sheet(spark, d) -> DataFrame:
     return head.unionByName(body)
 
 
-@query("header_detect", "SELECT 2 AS header_line, 6 AS score")
+_SHEET_SQL = """src AS (SELECT o_orderkey + 3 ln, ' ' || o_orderkey c0, o_orderpriority c1, cust c2, q c3, v c4, dsc c5, dt c6, 'nota' c7
+  FROM rp0
+  UNION ALL SELECT 0, 'Relatorio de vendas', NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 1, 'Filial 1', '2024', NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 2, 'OP', 'Origem', 'Cód. Cliente', 'Qtde Itens', 'Valor Total', 'Valor Desconto', 'Data', '  ')"""
+
+
+def _hits_sql(cell: str) -> str:
+    folded = f"strip_accents(lower(trim(coalesce({cell}, ''))))"
+    words = " OR ".join(f"contains({folded}, '{h}')" for h in HEADER_HINTS)
+    return f"CAST(length({folded}) >= 2 AND ({words}) AS INTEGER)"
+
+
+@query("header_detect", f"""WITH {RAW_PURCHASES}, {_SHEET_SQL},
+scored AS (SELECT ln, {" + ".join(_hits_sql(f"c{i}") for i in range(8))} score FROM src WHERE ln < 10)
+SELECT CAST(CASE WHEN max(score) < 2 AND count(*) > 1 THEN 1 ELSE arg_max(ln, score * 100 - ln) END AS INTEGER) header_line,
+max(score) score FROM scored""")
 def header_detect(spark, d):
     return header_line(purchase_sheet(spark, d))
 
 
+def _csv_parts(spark, d) -> str:
+    """The raw purchases as three CSV files with a banner, a blank line and a header each.
+
+    Each file also has a body row that reads like its banner, and a late row with a cell too many.
+    """
+    raw = raw_purchases(spark, d)
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(raw.columns)]
+    part = F.pmod(F.xxhash64(F.trim("OP")), F.lit(3)).cast("int").alias("part")
+    rows = raw.select(part, F.lit(5).alias("place"), F.to_csv(F.struct(*text)).alias("value"))
+    banner = "Relatorio de vendas,,,,,,"
+    fixed = [(0, banner), (1, ""), (2, ",".join(raw.columns)), (4, banner), (9, "extra,,1,,,,,late cell")]
+    top = spark.createDataFrame([(n, place, v) for n in range(3) for place, v in fixed], "part int, place int, value string")
+    path = scratch_path(spark)
+    lines = rows.unionByName(top)
+    ordered = lines.repartition(3, "part").sortWithinPartitions("part", "place")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
+    return path + "/part=*"
+
+
+@query("sheet_ingest_files", f"""WITH {RAW_PURCHASES}
+SELECT trim(' ' || o_orderkey) op, o_orderpriority origem, nullif(trim(cust), '') cliente, nullif(trim(v), '') valor, dt AS data,
+CAST(NULL AS VARCHAR) larga FROM rp0
+UNION ALL SELECT 'Relatorio de vendas', NULL, NULL, NULL, NULL, NULL FROM range(3)
+UNION ALL SELECT 'extra', NULL, '1', NULL, NULL, 'extra,,1,,,,,late cell' FROM range(3)""")
+def sheet_ingest_files(spark, d):
+    """The purchase sheet written as CSV parts and read back whole."""
+    sheet = ingest_sheets(spark, _csv_parts(spark, d), wide="larga")
+    blank = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    return sheet.select(
+        blank("OP").alias("op"),
+        blank("Origem").alias("origem"),
+        blank("Cód. Cliente").alias("cliente"),
+        blank("Valor Total").alias("valor"),
+        blank("Data").alias("data"),
+        "larga",
+    )
+
+
 @query("sheet_ingest", f"WITH {RAW_PURCHASES} {CLEAN_PURCHASES}")
 def sheet_ingest(spark, d):
     clean = clean_purchases(numbered_body(purchase_sheet(spark, d)))
@@ -376,6 +431,13 @@ def _personal(spark, d) -> DataFrame:
     )
 
 
+@query("mask_customers_hidden", _masked_sql().replace(
+    'c_mktsegment "Segmento"', f"""'ID' || substr(sha256('{SALT}|' || c_mktsegment), 1, 16) "Segmento\""""))
+def mask_customers_hidden(spark, d):
+    """Text that no rule knows is hidden too."""
+    return mask_table(_personal(spark, d), SALT, ["Codigo"], hide_unknown_text=True)
+
+
 @query("mask_customers", _masked_sql())
 def mask_customers(spark, d):
     return mask_table(_personal(spark, d), SALT, ["Codigo"])

@@ -22,7 +22,9 @@ from signals.operators.ranking import long_scores, rank_areas, recency_score
 from signals.operators.reports import campaign_tiles, drift_view, model_tiles, only_priorities, propensity_view
 from signals.operators.reports import uplift_tiles, uplift_view
 from signals.operators.splits import held_out_rows, split_by_date, training_rows
-from signals.sources.scratch import write_once
+from signals.operators.tables import first_by_key
+from signals.sources.scratch import scratch_path, write_once
+from signals.sources.tables import read_report, read_table, write_report, write_table
 
 KEY = ORDERS.customer
 
@@ -197,6 +199,47 @@ def rfm_query(spark, d):
     return rounded(rfm(_orders(spark, d), cols=ORDERS, one_row_per_order=True), monetary=2)
 
 
+@query("rfm_known_customers", RFM_SQL.replace(
+    "FROM orders GROUP BY", "FROM orders WHERE o_orderkey % 97 <> 0 GROUP BY"))
+def rfm_known_customers(spark, d):
+    """Purchases without a customer make no profile."""
+    orders = _orders(spark, d).withColumn(KEY, F.when(F.col("o_orderkey") % 97 != 0, F.col(KEY)))
+    return rounded(rfm(orders, cols=ORDERS, one_row_per_order=True), monetary=2)
+
+
+@query("scoring_base_known_customers", f"""WITH {BASE_CTE.replace("FROM orders, a WHERE", "FROM orders, a WHERE o_orderkey % 97 <> 0 AND")}
+SELECT o_custkey, recency, frequency_lookback, round(monetary_lookback, 2) monetary_lookback,
+round(ticket_medio_lookback, 6) ticket_medio_lookback, round(tendencia_gasto_lookback, 6) tendencia_gasto_lookback FROM base""")
+def scoring_base_known_customers(spark, d):
+    """Purchases without a customer make no row to score."""
+    orders = _orders(spark, d).withColumn(KEY, F.when(F.col("o_orderkey") % 97 != 0, F.col(KEY)))
+    return _round_features(scoring_base(orders, cols=ORDERS, one_row_per_order=True))
+
+
+@query("first_customer_copy", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def first_customer_copy(spark, d):
+    """Of copies with and without a name or balance, the first that has them."""
+    people = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    nameless = people.withColumn("c_name", F.lit(None).cast("string"))
+    empty = nameless.withColumn("c_acctbal", F.lit(None).cast("double"))
+    return first_by_key(nameless.unionByName(empty).unionByName(people), ["c_custkey"])
+
+
+@query("parquet_round_trip", "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders")
+def parquet_round_trip(spark, d):
+    path = scratch_path(spark)
+    write_table(_orders(spark, d).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), path)
+    return read_table(spark, path)
+
+
+@query("csv_round_trip", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    path = scratch_path(spark)
+    people = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    write_report(people, path)
+    return read_report(spark, path, people.schema)
+
+
 @query("rfm_events", """SELECT user_id, max(ts) ultima_compra, count(DISTINCT event_id) frequency,
 round(sum(value), 2) monetary, CAST(floor(epoch((SELECT max(ts) + INTERVAL 1 DAY FROM events
 WHERE event_type = 'purchase') - max(ts)) / 86400) AS BIGINT) recency

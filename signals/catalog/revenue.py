@@ -50,8 +50,11 @@ kpis AS (SELECT data, fat faturamento_total, np numero_pedidos, cu clientes_unic
 SEGMENT_KPI_CTE = """
 kpis AS (SELECT c_mktsegment, CAST(o_orderdate AS DATE) data, sum(o_totalprice) faturamento_total,
                 count(DISTINCT o_orderkey) numero_pedidos, count(DISTINCT o_custkey) clientes_unicos,
-                sum(o_totalprice) / count(DISTINCT o_orderkey) ticket_medio, CAST(0 AS DOUBLE) valor_pedido_fabrica
-         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+                sum(o_totalprice) / count(DISTINCT o_orderkey) ticket_medio, coalesce(any_value(v), 0) valor_pedido_fabrica
+         FROM orders JOIN customer ON o_custkey = c_custkey
+         LEFT JOIN (SELECT c_mktsegment seg, CAST(l_shipdate AS DATE) dia, sum(l_extendedprice) v FROM lineitem
+                    JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) fac
+         ON seg = c_mktsegment AND dia = CAST(o_orderdate AS DATE) GROUP BY 1, 2)"""
 KPI_SELECT = """data, round(faturamento_total, 2) faturamento_total, numero_pedidos, clientes_unicos,
 round(ticket_medio, 6) ticket_medio, round(valor_pedido_fabrica, 2) valor_pedido_fabrica"""
 
@@ -135,7 +138,10 @@ def _kpis(spark, d) -> DataFrame:
 
 def _segment_kpis(spark, d) -> DataFrame:
     owner = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), *SEGMENT)
-    return daily_kpis(table(spark, d, "orders").join(owner, "o_custkey"), cols=ORDERS, series=SEGMENT, one_row_per_order=True)
+    orders = table(spark, d, "orders").join(owner, "o_custkey")
+    of_order = orders.select(F.col("o_orderkey").alias("l_orderkey"), *SEGMENT)
+    lines = table(spark, d, "lineitem").join(of_order, "l_orderkey")
+    return daily_kpis(orders, lines, ORDERS, LINES, series=SEGMENT, one_row_per_order=True)
 
 
 def _round_kpis(df: DataFrame) -> DataFrame:
@@ -375,9 +381,8 @@ def forecast_rf_backtest(spark, d):
     """Walk-forward backtest of naive and forest models over all segments, with selection gain."""
     features = write_once(forecast_features(_segment_kpis(spark, d), SEGMENT))
     forest = {"random_forest": _small_models()["random_forest"]}
-    folds = {"initial_ratio": 0.6, "test_size": 180, "step": 180}
-    learned = learned_backtest(features, forest, SEGMENT, **folds)
-    naive = naive_backtest(features, SEGMENT, **folds)
+    learned = learned_backtest(features, forest, SEGMENT)
+    naive = naive_backtest(features, SEGMENT)
     return backtest_summary(naive.unionByName(learned), SEGMENT)
 
 

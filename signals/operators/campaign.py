@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from signals.columns import PROPENSITY_FEATURES, SCORE, TARGET, CustomerCols
 from signals.functions.numeric import labelled_bin
 from signals.operators.ranking import full_ranking, top_k
-from signals.operators.tables import first_by_key, present, require_columns, spread
+from signals.operators.tables import first_by_key, present, require_columns
 from signals.sources.models import feature_list
 from signals.sources.scratch import write_once
 
@@ -38,11 +38,13 @@ def fit_propensity(
     trees: int = 300,
     depth: int = 8,
     seed: int = 42,
+    partitions: int = 32,
 ) -> PipelineModel:
     """M2: random forest on class-balanced weights ``n / (2 * n_class)``.
 
     The weights come from two scalar counts, so the training rows are never shuffled for
-    them.
+    them. Rows are dealt by content into ``partitions``, which keeps all slots busy and makes the trees' samples
+    the same on any cluster.
     """
     used = present(train, features)
     total, positive = train.agg(
@@ -61,7 +63,8 @@ def fit_propensity(
         featureSubsetStrategy="sqrt",
     )
     stages = [VectorAssembler(inputCols=used, outputCol="_features"), forest]
-    return Pipeline(stages=stages).fit(spread(train.select(*used, label)).withColumn("_weight", weight))
+    dealt = train.select(*used, label).repartition(partitions, *used, label)
+    return Pipeline(stages=stages).fit(dealt.withColumn("_weight", weight))
 
 
 def score_with(model: PipelineModel, df: DataFrame, name: str = SCORE) -> DataFrame:

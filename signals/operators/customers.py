@@ -27,7 +27,7 @@ def rfm(
     dedup_customers: bool = False,
     one_row_per_order: bool = False,
 ) -> DataFrame:
-    """A1: one row per customer with last purchase, distinct orders, spend and recency.
+    """A1: one row per known customer with last purchase, distinct orders, spend and recency.
 
     The distinct order count shuffles by (customer, order) first, so one customer with a
     large share of all purchases is spread over many tasks; ``one_row_per_order`` (tables
@@ -38,7 +38,8 @@ def rfm(
     orders = F.count(cols.order) if one_row_per_order else F.count_distinct(cols.order)
     ref = F.lit(reference).cast("timestamp_ntz") if reference is not None else day_after_last(purchases, cols.time)
     profile = (
-        purchases.groupBy(cols.customer)
+        purchases.filter(F.col(cols.customer).isNotNull())
+        .groupBy(cols.customer)
         .agg(
             F.max(cols.time).alias("ultima_compra"),
             orders.alias("frequency"),

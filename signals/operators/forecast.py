@@ -236,23 +236,28 @@ def learned_backtest(
 ) -> DataFrame:
     """Errors of the learned models, one fit per (model, fold) on all series pooled.
 
-    ``features`` is read once per fit, so pass a written table. Fits run from a small
-    driver pool; every fit is itself a distributed job.
+    Series differ in length and start, so a fold trains on the days before the earliest day that any
+    series tests in it: no row of one series is later than a tested day of another. Rows with their positions and
+    folds are written once, and a fold reads its part. Fits run from a small driver pool; every fit is
+    itself a distributed job.
     """
-    rows = with_positions(features, DAY, series)
-    tested = fold_rows(rows, initial_ratio, test_size, step)
-    n_folds = tested.agg(F.max("fold")).first()[0] or 0
+    rows = write_once(with_positions(features, DAY, series))
+    tested = write_once(fold_rows(rows, initial_ratio, test_size, step))
+    first_days = tested.groupBy("fold").agg(F.min(DAY).alias("d"))
+    begins = {r["fold"]: r["d"] for r in first_days.collect()}  # one row per fold
     keep = [*series, "fold", DAY, REVENUE, "model", PREDICTION]
 
-    def run(name: str, make: Callable, fold: int) -> DataFrame:
-        train = rows.filter(F.col("_pos") < fold_start(fold, initial_ratio, step))
+    def run(name: str, make: Callable, fold: int) -> DataFrame | None:
+        train = rows.filter(F.col(DAY) < F.lit(begins[fold]))
+        if train.isEmpty():
+            return None
         model = fit_regressor(train, make(), feature_cols)
         out = predict_with(model, tested.filter(F.col("fold") == fold))
         return out.withColumn("model", F.lit(name)).select(*keep)
 
     with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
-        jobs = [pool.submit(run, n, m, f) for n, m in models.items() for f in range(1, n_folds + 1)]
-        parts = [job.result() for job in jobs]
+        jobs = [pool.submit(run, n, m, f) for n, m in models.items() for f in sorted(begins)]
+        parts = [part for part in (job.result() for job in jobs) if part is not None]
     if not parts:
         none = rows.withColumns({"fold": F.lit(0), "model": F.lit(""), PREDICTION: F.lit(0.0)})
         return error_table(none.select(*keep).limit(0), [*series, "model", "fold"])
@@ -299,7 +304,9 @@ def _tail(values: str, n: int) -> str:
 
 
 def _mean(values: str) -> str:
-    return f"aggregate({values}, 0D, (a, x) -> a + x, a -> a / size({values}))"
+    """Mean of the values that are there; null without any."""
+    start, add = "named_struct('s', 0D, 'n', 0)", "named_struct('s', a.s + coalesce(x, 0D), 'n', a.n + int(x IS NOT NULL))"
+    return f"aggregate({values}, {start}, (a, x) -> {add}, a -> a.s / nullif(a.n, 0))"
 
 
 def _spread(values: str, mean: str) -> str:

@@ -26,16 +26,17 @@ def daily_kpis(
     join is between calendar-sized tables whatever the input size. Factory value on days
     without sales is dropped. ``series`` columns split the indicators into many series.
 
-    Two distinct counts make Spark triple the rows before the shuffle;
-    ``one_row_per_order`` (tables keyed by order) leaves one, whose rows combine to one per
+    Two distinct counts make Spark triple their rows, so the lines of an order are first summed;
+    ``one_row_per_order`` (tables keyed by order) leaves one distinct count, whose rows combine to one per
     day and customer inside each task.
     """
     orders = F.count(cols.order) if one_row_per_order else F.count_distinct(cols.order)
     keys = [*series, DAY]
+    lines = purchases.filter(F.col(cols.time).isNotNull()).withColumn(DAY, day_of(F.col(cols.time)))
+    if not one_row_per_order:
+        lines = lines.groupBy(*keys, cols.order, cols.customer).agg(F.sum(cols.value).alias(cols.value))
     sales = (
-        purchases.filter(F.col(cols.time).isNotNull())
-        .withColumn(DAY, day_of(F.col(cols.time)))
-        .groupBy(*keys)
+        lines.groupBy(*keys)
         .agg(
             sum_or_zero(F.col(cols.value)).alias(REVENUE),
             orders.alias("numero_pedidos"),

@@ -16,23 +16,12 @@ from pyspark.sql import functions as F
 
 from signals.functions.text import column_name, fold_text, known_text, parse_day_first, parse_money, strip
 
-# Replacement lists.
-FIRST_NAMES = ("Ana", "Bruno", "Carla", "Diego", "Elisa", "Fabio", "Gabi", "Helena", "Igor", "Julia")
-LAST_NAMES = (
-    "Silva",
-    "Souza",
-    "Oliveira",
-    "Pereira",
-    "Santos",
-    "Costa",
-    "Lima",
-    "Almeida",
-    "Gomes",
-    "Ribeiro",
-)
-STREETS = ("Rua das Flores", "Av. Central", "Rua do Comercio", "Rua Aurora", "Av. Paulista")
-CITIES = ("Sao Paulo", "Campinas", "Santos", "Sorocaba", "Ribeirao Preto")
-STATES = ("SP", "RJ", "MG", "PR", "SC")
+# What masked cells are made of; any lists would do.
+FIRST_NAMES = ("Alba", "Benno", "Cira", "Davi", "Enzo", "Flora", "Gilda", "Hugo", "Iris", "Jonas", "Kira", "Lino")
+LAST_NAMES = ("Amaral", "Barreto", "Cardim", "Duarte", "Esteves", "Fontes", "Garrido", "Horta", "Leite", "Moura", "Neves")
+STREETS = ("Rua do Moinho", "Rua da Ponte", "Travessa do Cais", "Alameda do Bosque", "Largo da Fonte", "Rua do Farol")
+CITIES = ("Vila Nova", "Porto Claro", "Serra Azul", "Monte Belo", "Lagoa Grande", "Campo Verde")
+STATES = ("AA", "BB", "CC", "DD", "EE", "FF")
 
 # Words in a column name that choose its rule; the first rule that fits wins.
 RULE_WORDS: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -62,8 +51,9 @@ def rule_for(name: str) -> str | None:
 
 
 def digest(salt: str, *parts: Column) -> Column:
-    """Hex digest all fakes of one cell are cut from."""
-    return F.sha2(F.concat_ws("|", F.lit(salt), *[p.cast("string") for p in parts]), 256)
+    """Hex digest all fakes of one cell are cut from; a null part differs from a blank and from no part."""
+    marked = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
+    return F.sha2(F.concat_ws("|", F.lit(salt), *marked), 256)
 
 
 def draw(hexed: Column, part: int, n: int) -> Column:
@@ -147,15 +137,18 @@ def mask_table(
 
     ``rules`` overrides the rule of single columns. ``row_key`` names the columns that tell
     rows apart. ``where`` limits masking to some rows (K7). ``hide_unknown_text`` replaces
-    text columns no rule knows by pseudonyms instead of passing them through.
+    text columns no rule knows by pseudonyms instead of passing them through. A salt is required: without
+    one, ids could be found again by counting through them.
     """
+    if not salt:
+        raise ValueError("masking needs a salt")
     types = dict(df.dtypes)
     out = []
     for name in df.columns:
         rule = rules[name] if rules and name in rules else rule_for(name)
         if rule is None and hide_unknown_text and types[name] == "string":
             rule = "id"
-        c = F.col(name)
+        c = F.col(f"`{name}`")
         if rule is None:
             out.append(c)
             continue
@@ -163,11 +156,19 @@ def mask_table(
         if rule == "id":
             fake = pseudonym(text, salt)
         else:
-            fake = _fake(rule, text, digest(salt, F.lit(name), *[F.col(k) for k in row_key]))
+            fake = _fake(rule, text, digest(salt, F.lit(name), *[F.col(f"`{k}`") for k in row_key]))
         out.append((F.when(where, fake).otherwise(text) if where is not None else fake).alias(name))
     return df.select(*out)
 
 
+def mask_rows(df: DataFrame, salt: str, row_key: Sequence[str] = (), hide_unknown_text: bool = False) -> DataFrame:
+    """K1-K6 for a table that may have no key: without one, rows are told apart by one digest of all their cells."""
+    if row_key:
+        return mask_table(df, salt, row_key, hide_unknown_text=hide_unknown_text)
+    keyed = df.withColumn("_key", digest(salt, *[F.col(f"`{c}`") for c in df.columns]))
+    return mask_table(keyed, salt, ["_key"], {"_key": None}, hide_unknown_text=hide_unknown_text).drop("_key")
+
+
 def masked_row(line: Column, header_line: Column, cells: Column, hints: Sequence[str]) -> Column:
     """K7: rows of a sheet to mask: all below the header, and banner rows that are mostly
     data (fewer than 40 % of their filled cells look like header words)."""

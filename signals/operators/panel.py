@@ -130,7 +130,7 @@ def scoring_base(
     short = time >= F.date_add(start, lookback_days - short_lookback_days).cast(dtype)
     orders = F.count(cols.order) if one_row_per_order else F.count_distinct(cols.order)
     return (
-        purchases.filter((time >= start.cast(dtype)) & (time <= anchor.cast(dtype)))
+        purchases.filter((time >= start.cast(dtype)) & (time <= anchor.cast(dtype)) & F.col(cols.customer).isNotNull())
         .groupBy(cols.customer)
         .agg(
             orders.alias("_orders"),

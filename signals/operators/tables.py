@@ -40,21 +40,12 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows in at least as many partitions as there are task slots.
-
-    For inputs of iterative training only: a few small files would leave most slots idle
-    in every pass. Inputs with enough partitions are left alone.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def first_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
     """One whole row per key, the first in ``order_by`` order.
 
     Ties, and the case without an order, fall back to the remaining columns, so the choice
-    never depends on partitioning. ``min_by`` combines before the shuffle: a key with many
+    never depends on partitioning; null comes after every value, so a copy with a name wins over one
+    without. For the first by arrival, name an ingest order. ``min_by`` combines before the shuffle: a key with many
     copies costs one partial row per task, unlike a ranking window that sorts them all.
     """
     rest = [c for c in df.columns if c not in keys]
@@ -62,6 +53,6 @@ def first_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (
         return df.distinct()
     order = list(order_by) + [c for c in rest if c not in order_by]
     picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row")
+        F.min_by(F.struct(*rest), F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])).alias("_row")
     )
     return picked.select(*keys, "_row.*").select(*df.columns)

@@ -32,6 +32,7 @@ def run_data_step(ws: Workspace, purchases: DataFrame, customers: DataFrame, fac
     clean = ws.save(usable, "compras_clientes_clean")
     people = ws.save(people, "clientes_clean")
     supplies = ws.save(supplies, "pedidos_cd_clean")
-    ws.save(rfm(clean, people, cols=ws.cols), "rfm_clientes")
-    kpis = ws.save(daily_kpis(clean, supplies, ws.cols).orderBy(DAY), "kpis_diarios")
+    keyed = ws.sizes.one_row_per_order
+    ws.save(rfm(clean, people, cols=ws.cols, one_row_per_order=keyed), "rfm_clientes")
+    kpis = ws.save(daily_kpis(clean, supplies, ws.cols, one_row_per_order=keyed).orderBy(DAY), "kpis_diarios")
     ws.save(daily_features(kpis).orderBy(DAY), "kpis_diarios_features")

@@ -36,7 +36,12 @@ def train(ws: Workspace) -> None:
     s = ws.sizes
     panel = ws.save(
         propensity_panel(
-            ws.table("compras_clientes_clean"), ws.cols, s.label_days, s.lookback_days, s.short_lookback_days
+            ws.table("compras_clientes_clean"),
+            ws.cols,
+            s.label_days,
+            s.lookback_days,
+            s.short_lookback_days,
+            one_row_per_order=s.one_row_per_order,
         ),
         "propensity_dataset",
         SNAPSHOT,
@@ -45,7 +50,11 @@ def train(ws: Workspace) -> None:
     split = split_by_date(panel, SNAPSHOT, s.train_ratio)
     require_rows(held_out_rows(split), "the test part")
     model = fit_propensity(
-        training_rows(split), trees=s.propensity_trees, depth=s.propensity_depth, seed=s.seed
+        training_rows(split),
+        trees=s.propensity_trees,
+        depth=s.propensity_depth,
+        seed=s.seed,
+        partitions=s.training_partitions,
     )
     save_model(model, ws.path("propensity_model"))
 
@@ -58,6 +67,7 @@ def score(ws: Workspace) -> None:
         cols=ws.cols,
         lookback_days=s.lookback_days,
         short_lookback_days=s.short_lookback_days,
+        one_row_per_order=s.one_row_per_order,
     )
     scored = write_once(score_with(load_model(ws.path("propensity_model")), base))
     require_rows(scored, "the scoring base")

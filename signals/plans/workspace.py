@@ -32,6 +32,8 @@ class Sizes:
     leak_free: bool = False
     seed: int = 42
     parallel_fits: int = 4
+    training_partitions: int = 32
+    one_row_per_order: bool = False
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from signals.functions.text import fold_text
 from signals.operators.masking import has_hint, mask_table, masked_row, rule_for
@@ -41,25 +41,33 @@ def text_schema(n_columns: int) -> StructType:
     return StructType([StructField(f"c{i}", StringType()) for i in range(n_columns)])
 
 
-def read_sheet(spark: SparkSession, path: str, n_columns: int) -> DataFrame:
-    """Exported sheet rows as text, for one file or many (rows are not numbered)."""
-    return spark.read.schema(text_schema(n_columns)).csv(path, header=False)
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, folder or pattern, by name; metadata only."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(root) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [x.getPath().toString() for x in inside if x.isFile() and x.getPath().getName()[0] not in "._"]
+    return sorted(found)
 
 
-def read_top_lines(spark: SparkSession, file: str, n_columns: int, lines: int = SCAN_LINES) -> DataFrame:
-    """The first lines of one file, numbered from 0.
+def top_cells(spark: SparkSession, file: str, lines: int = SCAN_LINES) -> list[list[str | None]]:
+    """Cells of the first lines of one file; a blank line is a line without cells.
 
-    A single small read: Spark keeps the order of one file's first split, and ``limit``
-    on it reads from its start.
+    ``take`` at the root of the plan reads the file from its start and no further than it must.
     """
-    top = read_sheet(spark, file, n_columns).limit(lines).coalesce(1)
-    return top.withColumn(LINE, F.monotonically_increasing_id().cast("int"))
+    taken = [r[0] for r in spark.read.text(file).take(lines)]
+    return [[cell or None for cell in cells] for cells in csv.reader(line + "\n" for line in taken)]
 
 
-def sheet_width(spark: SparkSession, file: str) -> int:
-    """Number of cells of the widest of the first ten lines of one file."""
-    lines = [r[0] for r in spark.read.text(file).limit(SCAN_LINES).collect()]
-    return max((len(cells) for cells in csv.reader(lines)), default=0)
+def read_top_lines(spark: SparkSession, file: str, lines: int = SCAN_LINES) -> DataFrame:
+    """The first lines of one file as a sheet, numbered from 0 and as wide as the widest of them."""
+    cells = top_cells(spark, file, lines)
+    width = max((len(r) for r in cells), default=0)
+    schema = StructType([StructField(LINE, IntegerType()), *text_schema(width).fields])
+    return spark.createDataFrame([(i, *r, *[None] * (width - len(r))) for i, r in enumerate(cells)], schema)
 
 
 def _cells(df: DataFrame) -> list[str]:
@@ -106,25 +114,42 @@ def numbered_body(sheet: DataFrame, line: int = DEFAULT_HEADER_LINE) -> DataFram
 
 
 def ingest_sheets(
-    spark: SparkSession, path: str, first_file: str, n_columns: int, line: int | None = DEFAULT_HEADER_LINE
+    spark: SparkSession, path: str, line: int | None = DEFAULT_HEADER_LINE, wide: str | None = None
 ) -> DataFrame:
-    """S3: many exported files with the same banner and header as one text table.
-
-    Only the first ten lines of one file are looked at to learn the header (``line=None``
-    detects it). Body rows equal to one of those banner or header rows are dropped by a
-    filter, so files may be split and read in any order.
+    """S3: exported files with the same banner and header as one text table.
+
+    ``path`` is a file, a folder or a pattern. The first ten lines of one file are looked at to learn the header
+    (``line=None`` detects it) and with it the width. Banner and header are dropped by their place in each file, so
+    a body row that reads like one of them stays; blank lines count as lines above the header and are skipped below.
+    Files may be split and read in any order. A row with more cells than the header raises, or,
+    if ``wide`` names a column, is kept with its whole line there (null elsewhere); shorter rows end in nulls.
+    Cells may be quoted but may not hold line breaks.
     """
-    top = read_top_lines(spark, first_file, n_columns)
-    at = header_line(top).first()["header_line"] if line is None else line
-    names = header_names(top, at)
-    rows = read_sheet(spark, path, n_columns)
-    repeated = F.lit(False)
-    for r in top.filter(F.col(LINE) <= at).collect():  # at most ten rows
-        same = F.lit(True)
-        for c in _cells(top):
-            same = same & F.col(c).eqNullSafe(F.lit(r[c]))
-        repeated = repeated | same
-    return promote_header(rows.filter(~repeated), names)
+    files = files_of(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    top = top_cells(spark, files[0])
+    at = header_line(read_top_lines(spark, files[0])).first()["header_line"] if line is None else line
+    if at >= len(top):
+        raise ValueError(f"the sheet has no line {at}")
+    names = [(c or "").strip() for c in top[at]]
+    row = F.monotonically_increasing_id()
+    lines = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), row.alias("_row")
+    )
+    # The first split of a file is read by one task in order, so places follow from its first row: one row per file.
+    firsts = lines.filter(F.col("_start") == 0).groupBy("_file").agg(F.min("_row").alias("_first"))
+    above = (F.col("_start") == 0) & (F.col("_row") - F.col("_first") <= at)
+    body = lines.join(firsts, "_file").filter(~above & (F.trim("value") != ""))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    commas = F.regexp_count(F.regexp_replace("value", '"([^"]|"")*"', ""), F.lit(","))
+    too_wide = commas >= len(names)
+    cells = body.select(F.from_csv("value", schema).alias("_c"), F.when(too_wide, F.col("value")).alias("_wide"))
+    named = [F.col(f"_c.c{i}").alias(n) for i, n in enumerate(names) if n]
+    if wide is not None:
+        return cells.select(*named, F.col("_wide").alias(wide))
+    failed = F.raise_error(F.concat(F.lit("more cells than the header: "), "_wide"))
+    return cells.filter(F.when(F.col("_wide").isNotNull(), failed.cast("boolean")).otherwise(True)).select(*named)
 
 
 def sheet_mask(sheet: DataFrame, line: int, hints: Sequence[str] = HEADER_HINTS) -> Column:

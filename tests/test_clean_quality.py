@@ -122,3 +122,8 @@ def test_guards(spark):
         require_columns(df, ["b"])
     with pytest.raises(RuntimeError):
         require_rows(df, "the table")
+
+
+def test_first_by_key_prefers_a_value_to_null(spark, rows):
+    df = spark.createDataFrame([(1, None), (1, "Ana"), (2, None)], "k int, name string")
+    assert rows(first_by_key(df, ["k"])) == [(1, "Ana"), (2, None)]

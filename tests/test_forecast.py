@@ -203,3 +203,21 @@ def test_fits_are_repeatable(kpis):
     make = regressors(forest_trees=3, forest_depth=3)["random_forest"]
     a, b = (predict_with(fit_regressor(features, make()), features).agg(F.sum(PREDICTION)).first()[0] for _ in range(2))
     assert a == b
+
+
+def test_pooled_folds_never_learn_from_later_days(spark, monkeypatch):
+    """Two series a year apart: no training row is later than the first day tested in its fold."""
+    import signals.operators.forecast as m
+
+    late = [(("b", d[1] + timedelta(days=365), *d[2:])) for d in kpi_rows("b", 200, 4)]
+    kpis = spark.createDataFrame(kpi_rows("a", 200, 3) + late, KPI_SCHEMA)
+    features = forecast_features(kpis, ["loja"]).cache()
+    seen = []
+    fit = m.fit_regressor
+    monkeypatch.setattr(m, "fit_regressor", lambda train, *rest: seen.append(train.agg({"data": "max"}).first()[0]) or fit(train, *rest))
+    models = {"random_forest": regressors(forest_trees=2, forest_depth=2)["random_forest"]}
+    detail = learned_backtest(features, models, ["loja"], LEAK_FREE_FEATURES, parallel_fits=1)
+    tested = m.fold_rows(m.with_positions(features, "data", ["loja"])).groupBy("fold").agg({"data": "min"}).collect()
+    begins = [r[1] for r in sorted(tested)]
+    assert len(seen) == len(begins) > 1 and all(a < b for a, b in zip(seen, begins))
+    assert {r["loja"] for r in detail.collect()} == {"a", "b"}

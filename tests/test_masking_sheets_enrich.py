@@ -14,7 +14,7 @@ from signals.operators.enrich import (
     repaired_cache,
     updated_cache,
 )
-from signals.operators.masking import mask_table, rule_for
+from signals.operators.masking import mask_rows, mask_table, rule_for
 from signals.sources.sheets import (
     LINE,
     header_line,
@@ -128,14 +128,36 @@ def test_ingest_many_files(spark, tmp_path, rows):
     top = "Relatorio,,\nFilial,2024,\nCód. Cliente, Nome ,\n"
     (tmp_path / "a.csv").write_text(top + "1,Ana,x\n2,Bia,\n")
     (tmp_path / "b.csv").write_text(top + "3,Caio,\n")
-    first = str(tmp_path / "a.csv")
-    assert [r["c0"] for r in read_top_lines(spark, first, 3).orderBy(LINE).collect()] == ["Relatorio", "Filial", "Cód. Cliente", "1", "2"]
+    assert [r["c0"] for r in read_top_lines(spark, str(tmp_path / "a.csv")).orderBy(LINE).collect()] == ["Relatorio", "Filial", "Cód. Cliente", "1", "2"]
     for line in (2, None):
-        df = ingest_sheets(spark, str(tmp_path), first, 3, line)
+        df = ingest_sheets(spark, str(tmp_path), line)
         assert df.columns == ["Cód. Cliente", "Nome"]
         assert rows(df) == [("1", "Ana"), ("2", "Bia"), ("3", "Caio")]
     with pytest.raises(ValueError):
-        ingest_sheets(spark, str(tmp_path), first, 3, 9)
+        ingest_sheets(spark, str(tmp_path), 9)
+
+
+def test_ingest_keeps_rows_like_the_banner_and_tells_wide_ones(spark, tmp_path, rows):
+    body = "".join(f"{i},x\n" for i in range(20))
+    (tmp_path / "a.csv").write_text("Relatorio,\n\nCodigo,Nome\nRelatorio,\n\n" + body + '99,"a, b",extra\n100,,\n7\n')
+    df = ingest_sheets(spark, str(tmp_path), wide="_wide")
+    got = {r["Codigo"]: r for r in df.collect()}
+    assert df.columns == ["Codigo", "Nome", "_wide"] and df.count() == 24
+    assert got["Relatorio"]["Nome"] is None and got["99"]["Nome"] == "a, b" and got["7"]["Nome"] is None
+    assert {k for k, r in got.items() if r["_wide"]} == {"99", "100"}
+    with pytest.raises(Exception, match="more cells than the header"):
+        ingest_sheets(spark, str(tmp_path)).collect()
+
+
+def test_masking_fails_closed(spark):
+    df = people(spark)
+    with pytest.raises(ValueError):
+        mask_table(df, "", ["linha"])
+    keyed = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string").withColumn("Email", F.lit("e"))
+    assert len({r["Email"] for r in mask_table(keyed, "s", ["x", "y", "z"]).collect()}) == 2
+    dotted = spark.createDataFrame([("1", "Ana"), ("2", "Bia")], "`Cód. Cliente` string, Nome string")
+    out = mask_rows(dotted, "s", hide_unknown_text=True)
+    assert out.columns == dotted.columns and all(r[0].startswith("ID") for r in out.collect())
 
 
 def test_mask_files_skips_absent(spark, tmp_path):

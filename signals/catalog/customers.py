@@ -150,7 +150,7 @@ def _test_scores(spark, d) -> tuple[DataFrame, DataFrame]:
     split = split_by_date(write_once(_panel(spark, d)))
     test = _fixed_score(recency_score(held_out_rows(split)), "score_model")
     scores = {"model": "score_model", "baseline_recency": "score_baseline"}
-    return training_rows(split), long_scores(test, scores, [KEY, SNAPSHOT, TARGET])
+    return training_rows(split), write_once(long_scores(test, scores, [KEY, SNAPSHOT, TARGET]))
 
 
 def _scored_base(spark, d) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signals.columns import DAY, PROPENSITY_FEATURES, REVENUE, SNAPSHOT
-from signals.functions.numeric import edge_bin, equal_width_bin, round4
+from signals.functions.numeric import equal_width_bin, round4
 from signals.operators.splits import SPLIT, cutoff_date, split_by_rows
 from signals.operators.tables import present
 
@@ -43,22 +42,6 @@ def mean_shift(ref_mean: Column, ref_std: Column, cur_mean: Column) -> Column:
     return F.when(ref_std == 0, 0.0).otherwise(F.abs(cur_mean - ref_mean) / F.nullif(ref_std, F.lit(0.0)))
 
 
-def label_edges(lo: float, hi: float, bins: int = BINS, digits: int = 3) -> list[float]:
-    """Bin limits as they read on interval labels: the lowest is moved down by 0.1 % of the
-    range, and all are rounded to the fewest digits (at least three) that keep them apart."""
-    edges = np.linspace(lo, hi, bins + 1)
-    edges[0] -= (hi - lo) * 0.001
-    # Digits count from the first significant one for values below 1.
-    small = (edges != 0) & (np.abs(edges) < 1)
-    lead = np.zeros(len(edges), int)
-    lead[small] = -1 - np.floor(np.log10(np.abs(edges[small]))).astype(int)
-    for d in range(digits, 20):
-        rounded = [float(np.round(x, d + k)) for x, k in zip(edges, lead.tolist())]
-        if len(set(rounded)) == len(rounded):
-            return rounded
-    return edges.tolist()
-
-
 def drift_report(
     df: DataFrame,
     features: Sequence[str],
@@ -66,7 +49,6 @@ def drift_report(
     is_current: Column,
     bins: int = BINS,
     epsilon: float | None = None,
-    label_rounding: bool = False,
 ) -> DataFrame:
     """Mean shift, population stability index and status per feature.
 
@@ -75,8 +57,7 @@ def drift_report(
     every task before the shuffle. The statistics broadcast to the second pass have one
     row per feature.
 
-    ``epsilon`` fills empty bins instead of skipping them. ``label_rounding`` uses bin
-    limits rounded like interval labels, where values beyond the last limit drop out.
+    ``epsilon`` fills empty bins instead of skipping them.
     """
     flagged = df.select(
         *[F.col(f).cast("double").alias(f) for f in features],
@@ -103,23 +84,13 @@ def drift_report(
     # A feature without values on either side has nothing to compare.
     stats = stats.filter(F.col("rm").isNotNull() & F.col("cm").isNotNull())
 
-    if label_rounding:
-        bounds = stats.select("feature", "lo", "hi").filter(F.col("lo") < F.col("hi"))
-        limits = {r["feature"]: label_edges(r["lo"], r["hi"], bins) for r in bounds.collect()}
-        edges = F.lit(None).cast("array<double>")
-        for f, e in limits.items():
-            edges = F.when(F.col("feature") == f, F.array(*[F.lit(x) for x in e])).otherwise(edges)
-        bin_id = edge_bin(F.col("value"), edges)
-    else:
-        bin_id = equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
-
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
     counts = (
         flagged.select("_ref", "_cur", F.inline(pairs))
         .filter(F.col("value").isNotNull())
         .join(F.broadcast(stats.select("feature", "lo", "hi")), "feature")
         .filter(F.col("lo") < F.col("hi"))
-        .withColumn("bin", bin_id)
+        .withColumn("bin", equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins))
         .filter(F.col("bin").isNotNull())
         .groupBy("feature", "bin")
         .agg(F.count_if("_ref").cast("double").alias("r"), F.count_if("_cur").cast("double").alias("c"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signals.functions.text import parse_day_first
@@ -80,7 +80,10 @@ def _three(c: Column) -> Column:
 
 
 def check_table(df: DataFrame, rules: TableRules) -> DataFrame:
-    """Q1-Q4: the issues of one table, one row each."""
+    """Q1-Q4: the issues of one table, one row each.
+
+    The texts of the details are fixed values, as readers of the report compare them.
+    """
     name = rules.dataset
     missing = [c for c in rules.required if c not in df.columns]
     keys = [c for c in rules.keys if c in df.columns]
@@ -163,7 +166,3 @@ def enforce_gate(report: DataFrame, where: str = "the quality report") -> None:
     """Q6: stop the batch when any issue is an error."""
     if not report.filter(F.lower("severity") == "error").isEmpty():
         raise RuntimeError(f"batch stopped: critical quality errors, see {where}")
-
-
-def empty_report(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ISSUE_SCHEMA)

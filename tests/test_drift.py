@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from signals.operators.drift import drift_report, drift_status, label_edges, revenue_drift
+from signals.operators.drift import drift_report, drift_status, revenue_drift
 
 SIDES = "side string, x double"
 
@@ -48,20 +48,6 @@ def test_report_against_numpy(spark):
     assert r["ref_std"] == pytest.approx(ref.std(ddof=1), abs=1e-4) and r["status"] == "ALERT"
 
 
-def test_label_edges_match_interval_labels():
-    for values in ([0.0, 10.98744], [0.00012, 0.00987], [-3.2, 1234.5], [5.0, 5.4]):
-        cats = pd.cut(pd.Series(values), bins=10).cat.categories
-        assert label_edges(min(values), max(values)) == pytest.approx([cats[0].left, *[c.right for c in cats]])
-
-
-def test_label_rounding_drops_the_pooled_maximum(spark):
-    ref, cur = [0.0, 1.0, 2.0, 10.98744, 5.0], [0.5, 3.0, 10.98744, 7.0]
-    r = report(spark, ref, cur, label_rounding=True)
-    edges = label_edges(0.0, 10.98744)
-    assert edges[-1] < 10.98744
-    assert r["psi"] == pytest.approx(index(ref, cur, edges), abs=1e-4)
-
-
 def test_constant_feature(spark):
     r = report(spark, [3, 3, 3], [3, 3])
     assert (r["psi"], r["mean_shift_normalized"], r["status"]) == (0.0, 0.0, "OK")

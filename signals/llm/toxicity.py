@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signals.llm.batches import bound_batches
 from signals.sources.scratch import write_once
 
 #: Orders of the n-grams, and the bits of the table they are hashed into.
@@ -53,6 +54,12 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.weights[seen].sum() + self.bias, -500, 500))))
 
 
+def _present(text: str) -> np.ndarray:
+    """The different n-grams of a text."""
+    blocks = [np.unique(g) for g in gram_blocks(text)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype=np.uint32)
+
+
 def _places(grams: np.ndarray) -> np.ndarray:
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[grams] = np.arange(len(grams), dtype=np.int32)
@@ -92,29 +99,33 @@ def fit_toxicity(
     the share of toxic rows, a half of one without any.
     """
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                blocks = [np.unique(g) for g in gram_blocks(text.as_py())]
-                found.append(np.unique(np.concatenate(blocks)).astype(np.int32) if blocks else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "grams"]
-            )
-
+    bound_batches(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
-    spread = rows.select("label", "text").repartition(F.xxhash64("text"))
-    sample = write_once(spread.mapInArrow(grams, "label int, grams array<int>"))
+    sample = write_once(rows.select("label", "text"))
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     clean = n - toxic
     if not toxic or not clean:
         share = (toxic + 0.25) / (n + 1) if n else 0.25
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
 
-    counts = sample.select("label", F.explode("grams").alias("gram")).groupBy("gram")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), dtype=np.int32)
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
+                grams = _present(text.as_py())
+                seen[0, grams] += label
+                seen[1, grams] += 1
+        grams = np.flatnonzero(seen[1])
+        for at in range(0, len(grams), 1 << 16):
+            part = grams[at : at + (1 << 16)]
+            made = [pa.array(part.astype(np.int32)), pa.array(seen[0, part]), pa.array(seen[1, part])]
+            yield pa.RecordBatch.from_arrays(made, names=["gram", "p", "rows"])
+
     ratio = F.log((F.col("p") + 1) / F.lit(toxic + 2.0)) - F.log((F.col("rows") - F.col("p") + 1) / F.lit(clean + 2.0))
     kept = (
-        counts.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("rows"))
+        sample.mapInArrow(count, "gram int, p int, rows int")
+        .groupBy("gram")
+        .agg(F.sum("p").alias("p"), F.sum("rows").alias("rows"))
         .where(F.col("rows") >= min_rows)
         .select("gram", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("rows")).alias("rank"))
         .orderBy(F.desc("rank"), "gram")
@@ -126,7 +137,7 @@ def fit_toxicity(
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [p[p >= 0] for p in (place[g.values.to_numpy()] for g in batch.column("grams"))]
+            held = [p[p >= 0] for p in (place[_present(t.as_py())] for t in batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(held, pa.list_(pa.int32()))], names=["label", "grams"]
             )
@@ -171,6 +182,7 @@ def score_toxicity(
     Texts are scored whole, each by itself, in Arrow batches without a shuffle. An existing column of that
     name is replaced. ``keep`` names the columns to return besides, by default all.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c != name]
     read = docs.select(*names, F.col(text_col).cast("string").alias("_scored"))
     schema = docs.select(*names).schema.add(name, "double")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from signals.llm.batches import bound_batches
+
 #: Texts of more characters than this are cut into pieces that are encoded in parallel.
 PIECE = 1 << 15
 #: Characters on each side of a join in the first window, and tokens that both sides must agree on.
@@ -155,17 +157,6 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts have about ``most`` bytes at most, or one row."""
-    start, held = 0, 0
-    for i, size in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
-        if held and held + size > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    yield batch.slice(start)
-
-
 def encode_texts(
     docs: DataFrame,
     tokenizer_path: str,
@@ -185,6 +176,7 @@ def encode_texts(
     text is broadcast; it does not grow with the data.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     config = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -193,12 +185,9 @@ def encode_texts(
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(config.value)
         for batch in batches:
-            for part in _slices(batch, "text"):
-                ids = [c.encode(t.as_py()) for t in part.column("text")]
-                decoded = pa.array([c.decode(i) for i in ids], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), _lists(ids), decoded], names=["doc_id", "ids", "decoded"]
-                )
+            ids = [c.encode(t.as_py()) for t in batch.column("text")]
+            decoded = pa.array([c.decode(i) for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), decoded], names=["doc_id", "ids", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,8 +252,5 @@ def decode_ids(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", name: s
             out = [c.decode(np.array(x.as_py() or [], dtype=np.int32)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, name])
 
-    read = df.select(*names)
-    return read.mapInArrow(run, read.schema.add(name, "string"))
-
-
-
+    schema = df.select(*names).schema.add(name, "string")
+    return df.select(*names).mapInArrow(run, schema)

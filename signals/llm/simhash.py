@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signals.llm.batches import bound_batches
 from signals.llm.components import connected_components
 from signals.sources.scratch import write_once
 
@@ -96,6 +97,7 @@ def fingerprint(data: bytes, words: int, lanes: int = 1, anchors: int = 0) -> tu
 
 def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, anchors: int = 0) -> DataFrame:
     """The other columns with ``print`` (little-endian bytes) and ``anchors``; null texts count as empty."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep).schema.add("print", "binary").add("anchors", T.ArrayType(T.LongType()))
 
@@ -154,7 +156,7 @@ def links_in_buckets(keys: DataFrame, prints: DataFrame, lanes: int, most: int)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
     cells = (
-        keys.join(many, "key")
+        keys.hint("merge").join(many, "key")  # rows are made by explode, so the planner's size of them is too low
         .withColumns({"chunks": chunks})
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -178,7 +178,7 @@ def main_text(page: str, classes: list[list[int]]) -> str:
     ``classes`` are the equivalence classes of the page's host in template order; their tokens on this page are the
     template and what lies between them are slots. Slots in page furniture are left out. Of a page with main elements the slots
     inside them are taken whole; those that the template holds count before others. Else every slot outside furniture
-    is taken, without template texts and without slots that are mostly links.
+    is taken, without template texts and without blocks that are mostly links.
     """
     events = list(parse(page))
     template = valid_tokens(page_tokens(events), classes) if classes else set()
@@ -225,14 +225,14 @@ def main_text(page: str, classes: list[list[int]]) -> str:
                 slots.append([])
         elif node.tag == "br" and kind == "open" and slots[-1]:
             slots[-1].append((block, " ", links > 0))
-    blocks: dict[int, list[str]] = {}
+    blocks: dict[int, list[tuple[str, bool]]] = {}
     for slot in slots:
-        size = sum(len(t.strip()) for _, t, _ in slot)
-        if not chosen and 2 * sum(len(t.strip()) for _, t, link in slot if link) > size:
-            continue
-        for n, value, _ in slot:
-            blocks.setdefault(n, []).append(value)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
+        for n, value, link in slot:
+            blocks.setdefault(n, []).append((value, link))
+    if not chosen:
+        linked = lambda parts: sum(len(t.strip()) for t, link in parts if link)
+        blocks = {n: p for n, p in blocks.items() if 2 * linked(p) <= sum(len(t.strip()) for t, _ in p)}
+    lines = (" ".join("".join(t for t, _ in parts).split()) for parts in blocks.values())
     return "\n\n".join(line for line in lines if line)
 
 

@@ -12,6 +12,8 @@ from signals.sources.scratch import write_once
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Times the documents that still fit are ranked again after the first that did not.
+PASSES = 3
 #: A source's order is first cut into this many slices; only one slice per source is sorted.
 SLICES = 4096
 
@@ -76,7 +78,8 @@ def pareto_mix(
     A source that needs r times its words gets floor(r) certain copies of each document. The remaining
     fraction is the inclusion chance p of one more copy: documents are ranked by the odds of a
     repeatable uniform draw divided by the odds of p, and taken in that order while their words fit
-    the rest of the target, so the sample's size is fixed in words. One closing document is added when its
+    the rest of the target, so the sample's size is fixed in words. Documents larger than what is left are passed
+    over and the ranking goes on with those that fit, ``PASSES`` times; at last one closing document is added if its
     size brings the source nearer to its target. ``taken`` is size times copies.
 
     Sizes are words; null and empty texts have none and are taken for nothing. Null sources form one
@@ -96,8 +99,7 @@ def pareto_mix(
             *([F.struct(*carry).alias("carried")] if carry else []),
         ).withColumn("slice", F.floor(F.col("draw") * SLICES).cast("int"))
     )
-    slices = write_once(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")))
-    sources = slices.groupBy("source").agg(F.sum("words").alias("source_size"))
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sources, weights, cap).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     )
@@ -106,41 +108,24 @@ def pareto_mix(
             "p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
         )
     )
-    so_far = Window.partitionBy("source").orderBy("slice")
-    after = F.sum("words").over(so_far)
-    # One row per source: the slice in which the words run out, and the words of the slices before it.
-    cut = (
-        _with(slices.withColumns({"after": after, "before": after - F.col("words")}), plan)
-        .where(F.col("after") > F.col("rest"))
-        .groupBy("source")
-        .agg(F.min(F.struct(F.col("slice").alias("cut_slice"), "before")).alias("cut"))
-        .select("source", "cut.*")
-    )
-    state = write_once(_with(plan, cut, "left"))
-
-    odds = (F.col("draw") / (1 - F.col("draw"))) / (F.col("p") / (1 - F.col("p")))
+    odds = F.try_divide(F.col("draw") / (1 - F.col("draw")), F.try_divide(F.col("p"), 1 - F.col("p")))
     place = F.struct(odds, "draw", "doc_id", "row")
-    order = Window.partitionBy("source").orderBy(odds, "draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    ends = (
-        _with(rows, state)
-        .where((F.col("slice") == F.col("cut_slice")) & (F.col("p") > 0))
-        .withColumn("through", F.col("before") + F.sum("size").over(order))
-        .where(F.col("through") <= F.col("rest"))
-        .groupBy("source")
-        .agg(F.max("through").alias("through"), F.max(place).alias("end"))
-    )
-    state = write_once(
-        _with(state, ends, "left").withColumn("gap", F.col("rest") - F.coalesce("through", "before", "rest"))
-    )
-
-    taken = (F.col("p") > 0) & (
-        (F.col("slice") < F.col("cut_slice"))
-        | ((F.col("slice") == F.col("cut_slice")) & F.coalesce(place <= F.col("end"), F.lit(False)))
-    )
-    off = F.abs(F.col("size") - F.col("gap"))
+    state = plan.withColumn("gap0", F.col("rest"))
+    taken = F.lit(False)
+    for n in range(1, PASSES + 1):
+        fits = (F.col("p") > 0) & ~taken & (F.col("size") <= F.col(f"gap{n - 1}"))
+        state = write_once(_one_pass(rows, state, fits, odds, place, n))
+        cut, end = F.col(f"cut{n}"), F.col(f"end{n}")
+        taken = taken | (
+            (F.col("p") > 0)
+            & (F.col("size") <= F.col(f"gap{n - 1}"))
+            & (cut.isNull() | (F.col("slice") < cut) | ((F.col("slice") == cut) & F.coalesce(place <= end, F.lit(False))))
+        )
+    gap = F.col(f"gap{PASSES}")
+    off = F.abs(F.col("size") - gap)
     closing = (
         _with(rows, state)
-        .where((F.col("p") > 0) & ~taken & (off < F.col("gap")))
+        .where((F.col("p") > 0) & ~taken & (off < gap))
         .groupBy("source")
         .agg(F.min(F.struct(off.alias("off"), "doc_id", "row")).alias("c"))
         .select("source", F.col("c.row").alias("closing_row"))
@@ -154,6 +139,36 @@ def pareto_mix(
     )
 
 
+def _one_pass(rows: DataFrame, state: DataFrame, fits: Column, odds: Column, place: Column, n: int) -> DataFrame:
+    """The state with ``cut, end, gap`` of pass n: of the documents that ``fits`` holds for, ranked by odds, those whose
+    words together stay within the gap before are all in slices before the cut, or in it up to the end.
+
+    No cut means that all of them fit.
+    """
+    gap = F.col(f"gap{n - 1}")
+    slices = _with(rows, state).where(fits).groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    so_far = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    over = _with(slices.withColumn("after", F.sum("words").over(so_far)), state)
+    first = F.min(F.when(F.col("after") > gap, F.struct("slice", (F.col("after") - F.col("words")).alias("before"))))
+    cuts = write_once(
+        over.groupBy("source")
+        .agg(first.alias("c"), F.sum("words").alias("_all"))
+        .select("source", F.col("c.slice").alias(f"cut{n}"), F.col("c.before").alias("_before"), "_all")
+    )
+    state = _with(state, cuts, "left")
+    order = Window.partitionBy("source").orderBy(odds, "draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    ends = (
+        _with(rows, state)
+        .where(fits & (F.col("slice") == F.col(f"cut{n}")))
+        .withColumn("_through", F.col("_before") + F.sum("size").over(order))
+        .where(F.col("_through") <= gap)
+        .groupBy("source")
+        .agg(F.max("_through").alias("_through"), F.max(place).alias(f"end{n}"))
+    )
+    words = F.coalesce("_through", "_before", "_all", F.lit(0))
+    return _with(state, ends, "left").withColumn(f"gap{n}", gap - words).drop("_through", "_before", "_all")
+
+
 def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on ``source`` where null equals null."""
     right = right.withColumnRenamed("source", "_source")

@@ -13,7 +13,7 @@ from signals.llm.chat import DEFAULT_TEMPLATE, format_chats, read_chats
 from signals.llm.exact_dedup import exact_duplicates
 from signals.llm.html_extract import extract_main_text
 from signals.llm.line_dedup import remove_spread_lines
-from signals.llm.mixing import pareto_mix
+from signals.llm.mixing import PASSES, pareto_mix
 from signals.llm.simhash import simhash_groups
 from signals.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from signals.llm.vafile import top_inner_products
@@ -99,6 +99,21 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+_PASSES_SQL = (
+    "".join(
+        f"""s{i} AS (
+        SELECT *, CASE WHEN rest > 0 AND NOT fits AND size <= gap THEN sum(CASE WHEN NOT fits AND size <= gap THEN size ELSE 0 END)
+            OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) END AS through FROM c{i - 1}
+    ), c{i} AS (
+        SELECT * EXCLUDE (through, fits, gap), fits OR coalesce(through <= gap, false) AS fits,
+            gap - coalesce(max(CASE WHEN through <= gap THEN through END) OVER (PARTITION BY source), 0) AS gap FROM s{i}
+    ), """
+        for i in range(1, PASSES + 1)
+    )
+    + f"g AS (SELECT * FROM c{PASSES}),"
+)
+
+
 @query(
     "op3_source_mixing",
     sql=r"""
@@ -124,21 +139,17 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), p AS (
         SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole,
             CASE WHEN n > 0 THEN greatest(target - floor(target / n) * n, 0) ELSE 0 END AS rest FROM t
-    ), c AS (
-        SELECT d.*, p.n, p.target, p.whole, p.rest,
-            sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS through
+    ), c0 AS (
+        SELECT d.*, p.n, p.target, p.whole, p.rest, false AS fits, p.rest AS gap
         FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-    ), g AS (
-        SELECT *, rest > 0 AND through <= rest AS fits,
-            rest - coalesce(max(CASE WHEN through <= rest THEN through END) OVER (PARTITION BY source), 0) AS gap FROM c
-    ), k AS (
+    ), PASSES k AS (
         SELECT source, arg_min(doc_id, {'off': abs(size - gap), 'id': doc_id}) AS closing FROM g
         WHERE rest > 0 AND NOT fits AND abs(size - gap) < gap GROUP BY source
     )
     SELECT g.doc_id, g.size, g.n AS source_size, g.target,
         (g.size * (g.whole + g.fits::BIGINT + coalesce(g.doc_id = k.closing, false)::BIGINT))::BIGINT AS taken
     FROM g LEFT JOIN k ON g.source IS NOT DISTINCT FROM k.source
-    """,
+    """.replace("PASSES", _PASSES_SQL),
 )
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 repeating, each source at most three times its words."""
@@ -159,7 +170,11 @@ MIN_SITES, MIN_WORDS = 10, 4
         FROM documents
     ), k AS (
         SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key,
-            regexp_matches(line, '^[ 	-]*([^ 	-]+[ 	-]+){{{{{MIN_WORDS - 1}}}}}[^ 	-]') AS long
+            regexp_matches(line, '^[ 	-
+]*([^ 	-
+]+[ 	-
+]+){{{{{MIN_WORDS - 1}}}}}[^ 	-
+]') AS long
         FROM l
     ), b AS (
         SELECT key FROM k WHERE long GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from signals.llm.mixing import pareto_mix
+from signals.llm.mixing import PASSES, pareto_mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,14 +35,16 @@ def brute(rows, weights=(1, 2, 3), cap=3):
     for s in names:
         whole = math.floor(target[s] / size[s]) if size[s] else 0
         rest = max(target[s] - whole * size[s], 0)
-        through, more = 0, set()
+        gap, more = rest, set()
         order = sorted(docs[s], key=lambda x: (x[0], -1 if x[1] is None else x[1]))
-        for u, d, n in order:
-            if through + n > rest:
-                break
-            through += n
-            more.add(d)
-        gap = rest - through
+        for _ in range(PASSES):
+            through = 0
+            for _, d, n in [x for x in order if x[1] not in more and x[2] <= gap]:
+                if through + n > gap:
+                    break
+                through += n
+                more.add(d)
+            gap -= through
         others = [(abs(n - gap), d) for u, d, n in order if d not in more and abs(n - gap) < gap]
         more |= {min(others)[1]} if others and rest else set()
         for _, d, n in docs[s]:

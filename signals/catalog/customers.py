@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signals.catalog.registry import EVENTS, ORDER_LINES, ORDERS, PEOPLE, as_long, query, rounded, table
@@ -512,22 +512,51 @@ def drift_summary_query(spark, d):
 # --- learned model ----------------------------------------------------------------------
 
 
-@query("propensity_rf")
-def propensity_rf(spark, d):
+# Learned numbers differ between libraries, so these queries return what SQL can state about all of their output: which
+# rows there are, their counts and dates, the baseline's numbers, and that each learned number is in its range. The trees are
+# a parameter of the query; 300 is the production value.
+TREES = 20
+
+
+@query("propensity_rf", f"""WITH m AS ({METRICS_SQL})
+SELECT CASE model WHEN 'model' THEN 'random_forest' ELSE model END model, train_rows, test_rows, train_start, train_end,
+test_start, test_end, CASE WHEN model = 'baseline_recency' THEN pr_auc END baseline_pr_auc,
+CASE WHEN model = 'baseline_recency' THEN roc_auc END baseline_roc_auc, 1 in_range FROM m""")
+def propensity_rf(spark, d, trees: int = TREES):
     """Train on the first dates, compare the forest with the recency baseline on the rest."""
     split = split_by_date(write_once(_panel(spark, d)))
     train = training_rows(split)
-    model = fit_propensity(train, trees=20)
+    model = fit_propensity(train, trees=trees)
     test = score_with(model, recency_score(held_out_rows(split)), "score_model")
     scores = {"random_forest": "score_model", "baseline_recency": "score_baseline"}
     long = write_once(long_scores(test, scores, [KEY, SNAPSHOT, TARGET]))
-    return propensity_metrics(train, long, KEY)
-
-
-@query("campaign_rf")
-def campaign_rf(spark, d):
-    """The weekly list with the learned score."""
+    metrics = _round_metrics(propensity_metrics(train, long, KEY))
+    shares = [f"{m}_at_{k}" for k in (10, 30, 50) for m in ("recall", "precision")] + ["roc_auc"]
+    sane = F.col("pr_auc") > 0
+    for c in (*shares, "pr_auc"):
+        sane = sane & F.col(c).between(0, 1)
+    baseline = F.col("model") == "baseline_recency"
+    return metrics.select(
+        "model", "train_rows", "test_rows", "train_start", "train_end", "test_start", "test_end",
+        F.when(baseline, F.col("pr_auc")).alias("baseline_pr_auc"),
+        F.when(baseline, F.col("roc_auc")).alias("baseline_roc_auc"),
+        sane.cast("int").alias("in_range"),
+    )
+
+
+@query("campaign_rf", f"""WITH {BASE_CTE}, n AS (SELECT least(100, count(*)) n FROM base)
+SELECT unnest(range(1, n + 1)) AS rank, 1 known, 1 in_range, 1 in_order FROM n""")
+def campaign_rf(spark, d, trees: int = TREES):
+    """The weekly list with the learned score: known customers, scores in range and in order."""
     panel = write_once(_panel(spark, d))
-    model = fit_propensity(training_rows(split_by_date(panel)), trees=20)
-    scored = score_with(model, scoring_base(_orders(spark, d), cols=ORDERS, one_row_per_order=True))
-    return campaign_list(scored, table(spark, d, "customer"), key=KEY, cols=PEOPLE)
+    model = fit_propensity(training_rows(split_by_date(panel)), trees=trees)
+    base = write_once(scoring_base(_orders(spark, d), cols=ORDERS, one_row_per_order=True))
+    listed = campaign_list(score_with(model, base), table(spark, d, "customer"), key=KEY, cols=PEOPLE)
+    score = F.col("score_recompra_30d")
+    before = F.lag(score).over(Window.orderBy("rank"))
+    return listed.join(base.select(KEY, F.lit(1).alias("_known")), KEY, "left").select(
+        F.col("rank").cast("long").alias("rank"),
+        (F.col("_known").isNotNull() & F.col("c_name").isNotNull()).cast("int").alias("known"),
+        score.between(0, 1).cast("int").alias("in_range"),
+        (before.isNull() | (before >= score)).cast("int").alias("in_order"),
+    )

@@ -372,26 +372,54 @@ def revenue_drift_query(spark, d):
 # --- learned models ---------------------------------------------------------------------
 
 
-def _small_models():
-    return regressors(forest_trees=20, forest_depth=8, boost_rounds=5, boost_depth=4)
+# Learned numbers differ between libraries, so these queries return what SQL can state about all of their output: which
+# rows there are, the naive models' numbers, and that each learned number is in its range. Model sizes are parameters of
+# the queries; the defaults of ``regressors`` are the production values.
+SIZES = {"forest_trees": 20, "forest_depth": 8, "boost_rounds": 5, "boost_depth": 4}
 
 
-@query("forecast_rf_backtest")
-def forecast_rf_backtest(spark, d):
-    """Walk-forward backtest of naive and forest models over all segments, with selection gain."""
+@query("forecast_rf_backtest", f"""WITH {SEGMENT_KPI_CTE}, {backtest_cte("c_mktsegment")}
+SELECT c_mktsegment, model, folds, round(mae_mean, 4) naive_mae_mean, round(wape_mean, 6) naive_wape_mean, 1 in_range FROM su
+UNION ALL SELECT DISTINCT c_mktsegment, 'random_forest', folds, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 1 FROM su""")
+def forecast_rf_backtest(spark, d, sizes=SIZES):
+    """Walk-forward backtest of naive and forest models over all folds of all segments."""
     features = write_once(forecast_features(_segment_kpis(spark, d), SEGMENT))
-    forest = {"random_forest": _small_models()["random_forest"]}
-    learned = learned_backtest(features, forest, SEGMENT)
-    naive = naive_backtest(features, SEGMENT)
-    return backtest_summary(naive.unionByName(learned), SEGMENT)
+    forest = {"random_forest": regressors(**sizes)["random_forest"]}
+    detail = naive_backtest(features, SEGMENT).unionByName(learned_backtest(features, forest, SEGMENT))
+    naive = F.col("model") != "random_forest"
+    return _round_summary(backtest_summary(detail, SEGMENT)).select(
+        *SEGMENT,
+        "model",
+        "folds",
+        F.when(naive, F.col("mae_mean")).alias("naive_mae_mean"),
+        F.when(naive, F.col("wape_mean")).alias("naive_wape_mean"),
+        ((F.col("mae_mean") >= 0) & (F.col("wape_mean") >= 0)).cast("int").alias("in_range"),
+    )
+
+
+_NEXT_30_SQL = f"""WITH {SEGMENT_KPI_CTE}
+SELECT c_mktsegment, CAST(max(data) + unnest(range(1, 31))::INTEGER AS DATE) AS data, 1 in_range FROM kpis GROUP BY c_mktsegment"""
 
 
-@query("forecast_rf_30d")
-def forecast_rf_30d(spark, d):
-    """Recursive 30-day forecast of every segment with one forest."""
+def _next_30(spark, d, name: str, sizes) -> DataFrame:
+    """The forecast of every segment, with the range of the revenues learned from."""
     kpis = write_once(_segment_kpis(spark, d))
     train = write_once(forecast_features(kpis, SEGMENT))
-    model = fit_regressor(train, _small_models()["random_forest"]())
-    return recursive_forecast(kpis, model, 30, SEGMENT).select(*SEGMENT, DAY, PREDICTION)
+    model = fit_regressor(train, regressors(**sizes)[name]())
+    seen = train.agg(F.struct(F.min(REVENUE).alias("lo"), F.max(REVENUE).alias("hi")).alias("s")).scalar()
+    return recursive_forecast(kpis, model, 30, SEGMENT).withColumn("_seen", seen)
+
+
+@query("forecast_rf_30d", _NEXT_30_SQL)
+def forecast_rf_30d(spark, d, sizes=SIZES):
+    """Recursive 30-day forecast of every segment with one forest, whose means never leave what it learned from."""
+    inside = F.col(PREDICTION).between(F.col("_seen.lo"), F.col("_seen.hi"))
+    return _next_30(spark, d, "random_forest", sizes).select(*SEGMENT, DAY, inside.cast("int").alias("in_range"))
 
 
+@query("forecast_boosted_30d", _NEXT_30_SQL)
+def forecast_boosted_30d(spark, d, sizes=SIZES):
+    """The same with boosted trees, whose sums may go past it a little."""
+    width = F.col("_seen.hi") - F.col("_seen.lo")
+    inside = F.col(PREDICTION).between(F.col("_seen.lo") - width, F.col("_seen.hi") + width)
+    return _next_30(spark, d, "gbt", sizes).select(*SEGMENT, DAY, inside.cast("int").alias("in_range"))

@@ -41,10 +41,12 @@ def _purchase_days(purchases: DataFrame, cols: PurchaseCols, lookback: int, one_
     if one_row_per_order:
         lines = base.withColumns({"_until": F.date_add("_day", lookback), "_sum": F.col("_value")})
     else:
-        # Copies of an order collapse before the window, which then holds one row per day.
+        # Copies of an order collapse before the window, which then holds one row per day. One shuffle
+        # by order serves both.
         w = Window.partitionBy(cols.customer, cols.order).orderBy("_seen", "_day")
         lines = (
-            base.groupBy(cols.customer, cols.order, "_day", "_seen")
+            base.repartition(cols.customer, cols.order)
+            .groupBy(cols.customer, cols.order, "_day", "_seen")
             .agg(F.sum("_value").alias("_sum"))
             .withColumn("_until", F.least(F.date_add("_day", lookback), F.date_sub(F.lead("_seen").over(w), 1)))
         )

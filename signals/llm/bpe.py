@@ -23,7 +23,7 @@ PIECE = 1 << 15
 #: Characters on each side of a join in the first window, and tokens that both sides must agree on.
 WINDOW, AGREE = 64, 4
 #: Words whose encoding a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 # The word pattern of the pre-tokenizer that the quick way knows, and its last letter.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

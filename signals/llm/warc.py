@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,7 +69,7 @@ def write_warc(
     The payload is the body in UTF-8, null as empty, sent in transfer chunks; blocks of more than
     ``SEGMENT`` bytes go on in continuation records. Of rows with equal payloads of at least ``MIN_REVISIT`` bytes
     that with the smallest id (null last) is a response and the others revisit it; rows that repeat its id
-    too are responses. Null ids and addresses are left out of the headers. Further columns are ignored. The rows are
+    too are responses. Archives are compressed with gzip. Null ids and addresses are left out of the headers. Further columns are ignored. The rows are
     written by Spark's text writer, so a lost task leaves nothing behind.
     """
     bound_batches(pages.sparkSession)
@@ -109,7 +110,12 @@ def write_warc(
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
     records = planned.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS).text(path)
+    records.write.option("maxRecordsPerFile", RECORDS).text(path, compression="gzip", lineSep="\r\n")
+
+
+def archive_bytes(content: bytes) -> bytes:
+    """An archive as it is, unpacked if it is compressed with gzip, in one member or many."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -181,7 +187,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
-                for at, h, block in parse_archive(content.as_py()):
+                for at, h, block in parse_archive(archive_bytes(content.as_py())):
                     rows.append(
                         {
                             "file": file.as_py(), "at": at, "page_id": whole(h.get("warc-page-id")), "url": h.get("warc-target-uri"),

@@ -4,7 +4,7 @@ import hashlib
 
 from signals.llm import warc
 from signals.llm.queries import op9_warc_segments
-from signals.llm.warc import archive_pages, http_payload, parse_archive, read_warc, write_warc
+from signals.llm.warc import archive_bytes, archive_pages, http_payload, parse_archive, read_warc, write_warc
 
 SCHEMA = "page_id bigint, url string, html string, digest string, payload int"
 
@@ -46,7 +46,7 @@ def test_repeated_rows_and_none(spark):
 def test_lost_segments_are_told(spark, tmp_path):
     whole = str(tmp_path / "whole")
     write_warc(table(spark, [(1, "http://a", "k" * 80_000), (2, "http://b", "fine")]), whole)
-    data = b"".join(p.read_bytes() for p in (tmp_path / "whole").glob("part-*"))
+    data = b"".join(archive_bytes(p.read_bytes()) for p in (tmp_path / "whole").glob("part-*"))
     records = [(at, h) for at, h, _ in parse_archive(data)]
     numbers = [h.get("warc-segment-number") for _, h in records]
     assert numbers.count(None) == 1 and "3" in numbers
@@ -62,7 +62,7 @@ def test_lost_segments_are_told(spark, tmp_path):
 
 def test_segments_in_other_archives_and_order(spark, tmp_path):
     write_warc(table(spark, [(1, "http://a", "".join(map(str, range(30_000))))]), str(tmp_path / "w"))
-    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    data = b"".join(archive_bytes(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     at = [a for a, _, _ in parse_archive(data)] + [len(data)]
     apart = tmp_path / "apart"
     apart.mkdir()

@@ -192,7 +192,7 @@ cal AS (SELECT c_mktsegment, CAST(unnest(generate_series(min(data), max(data), I
         FROM kpis GROUP BY 1)
 SELECT c_mktsegment, data, round(coalesce(faturamento_total, 0), 2) faturamento_total,
 coalesce(numero_pedidos, 0) numero_pedidos, coalesce(clientes_unicos, 0) clientes_unicos,
-round(coalesce(ticket_medio, 0), 6) ticket_medio, CAST(0 AS DOUBLE) valor_pedido_fabrica
+round(coalesce(ticket_medio, 0), 6) ticket_medio, round(coalesce(valor_pedido_fabrica, 0), 2) valor_pedido_fabrica
 FROM cal LEFT JOIN kpis USING (c_mktsegment, data)""")
 def daily_kpis_filled(spark, d):
     return _round_kpis(fill_calendar(_segment_kpis(spark, d), SEGMENT))

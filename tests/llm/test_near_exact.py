@@ -1,0 +1,68 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from signals.llm import simhash
+from signals.llm.simhash import near_duplicates, shingle_set, similar_links
+
+
+def jaccard(a, b):
+    a, b = (set(shingle_set(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def pairs_around(draw, n=160):
+    """Texts of ``n`` pairs that share a first part, at similarities on both sides of 0.8."""
+    rows = []
+    for g in range(n):
+        text = [f"w{draw.randrange(90000)}" for _ in range(204)]
+        own = 14 + g % 17  # of 200 shingles, so many are replaced at the end
+        rows.append((2 * g, " ".join(text)))
+        rows.append((2 * g + 1, " ".join(text[: 204 - own] + [f"x{draw.randrange(90000)}" for _ in range(own)])))
+    return rows
+
+
+def test_pairs_at_the_threshold(documents):
+    rows = pairs_around(random.Random(2))
+    text = dict(rows)
+    same = {g for g in range(160) if jaccard(text[2 * g], text[2 * g + 1]) >= 0.8}
+    assert 40 < len(same) < 140
+    kept = {r.doc_id for r in near_duplicates(documents([(d, t, "s") for d, t in rows])).where("kept").collect()}
+    assert kept == {2 * g for g in range(160)} | {2 * g + 1 for g in range(160) if g not in same}
+
+
+def test_repeated_passages_weigh_nothing(documents):
+    draw = random.Random(4)
+    text = [f"w{draw.randrange(9000)}" for _ in range(60)]
+    again = text + text[:30]
+    many = text + text[:12] * 40
+    rows = [(1, " ".join(text), "s"), (2, " ".join(again), "s"), (3, " ".join(many), "s")]
+    same = [d for d, t, _ in rows if jaccard(rows[0][1], t) >= 0.8]
+    assert same == [1, 2, 3]
+    assert [r.doc_id for r in near_duplicates(documents(rows)).where("kept").collect()] == [1]
+
+
+def test_forest_and_chunks_equal_brute_force(documents, monkeypatch):
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(9000)}" for _ in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(draw.randrange(7)):
+            words[draw.randrange(120)] = f"e{draw.randrange(9000)}"
+        rows.append((i, " ".join(words), "s"))
+    sets = [shingle_set(t.encode(), 5) for _, t, _ in rows]
+    label = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert len(similar_links(sets, 0.8)) == 90 - len(set(label)) > 0
+    assert similar_links([np.zeros(0, np.uint64)] * 2, 0.8) == []
+    want = {i: label.index(label[i]) for i in range(90)}
+    for size in (8 << 20, 8_000):
+        monkeypatch.setattr(simhash, "SET_BYTES", size)
+        assert {r.doc_id: r.group_id for r in near_duplicates(documents(rows)).collect()} == want

@@ -27,8 +27,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources share; ``n_chars`` follows the text."""
-    clean = remove_spread_lines(docs, min_sites=MIN_SITES, min_words=MIN_WORDS)
+    """Documents without the lines that many sources share; ``n_chars`` follows the text.
+
+    Near copies count as one document here: their lines must last until the next stage has chosen one of them.
+    """
+    clean = remove_spread_lines(docs, min_sites=MIN_SITES, min_words=MIN_WORDS, copies_count=False)
     length = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

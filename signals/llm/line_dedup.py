@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signals.llm.simhash import near_groups
 from signals.sources.scratch import write_once
 
 #: log2 of the registers of a sketch; its relative error is about 1.04 / sqrt(4096), or 1.6 %.
@@ -31,18 +32,22 @@ def remove_spread_lines(
     min_sites: int = 10,
     min_words: int = 4,
     band: float = 0.1,
+    copies_count: bool = True,
 ) -> DataFrame:
     """The rows given, with lines of ``min_sites`` or more distinct sites taken out of ``text``.
 
     All columns come back, with ``lines`` and ``lines_removed`` added (existing columns of these names are
     replaced). Lines end at line feeds and are compared without blanks at their ends. Lines of fewer than
     ``min_words`` words, blank ones among them, are never removed: chance repeats them.
+    With ``copies_count=False`` near copies of one document (``near_groups``) give each line one site in all, drawn from
+    theirs by a hash, so only different documents make a line boilerplate and a copied one keeps its text.
     Null sites are no site; null texts stay null and have no lines; a text may become empty. Repeated rows
     keep a row each.
 
     A HyperLogLog sketch per line hash is merged by aggregation, so a line that holds a third of all rows costs
     one sketch per task. Lines whose estimate is further than ``band`` (over six standard errors) from the
-    threshold are decided by it; the few others get an exact distinct count. The lines to remove
+    threshold are decided by it; the few others get an exact distinct count. Copies only lower a count, so without them
+    every line over the threshold is counted exactly, after a combining aggregate to one site per line and group. The lines to remove
     are joined, not broadcast by hint: their number has no proven bound.
     """
     names = [c for c in docs.columns if c not in ("lines", "lines_removed")]
@@ -60,10 +65,15 @@ def remove_spread_lines(
     wide = write_once(
         spread.select("key", estimate.alias("sites")).where(F.col("sites") >= F.floor(F.lit(min_sites * (1 - band))))
     )
-    unsure = F.col("sites") <= F.ceil(F.lit(min_sites * (1 + band)))
+    unsure = F.col("sites") <= F.ceil(F.lit(min_sites * (1 + band))) if copies_count else F.lit(True)
+    counted = lines.join(wide.where(unsure).select("key"), "key", "left_semi")
+    if not copies_count:
+        groups = near_groups(docs.select(*pick).select(row.alias("doc_id"), F.col("_text").alias("text")))
+        groups = groups.select(F.col("doc_id").alias("row"), F.col("label").alias("group")).distinct()
+        drawn = F.min_by("site", F.xxhash64("group", "site")).alias("site")
+        counted = counted.where(F.col("site").isNotNull()).join(groups, "row").groupBy("key", "group").agg(drawn)
     exact = (
-        lines.join(wide.where(unsure).select("key"), "key", "left_semi")
-        .groupBy("key", "site")
+        counted.groupBy("key", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("key")
         .agg(F.count("site").alias("sites"))

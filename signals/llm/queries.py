@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from signals.llm.bpe import encode_texts
 from signals.llm.chat import DEFAULT_TEMPLATE, format_chats, read_chats
 from signals.llm.exact_dedup import exact_duplicates
+from signals.llm.fim import RATE, SUFFIX_FIRST, fill_in_middle, restored
 from signals.llm.html_extract import extract_main_text
+from signals.llm.lexical import ranked_search
 from signals.llm.line_dedup import remove_spread_lines
 from signals.llm.mixing import PASSES, pareto_mix
 from signals.llm.simhash import simhash_groups
 from signals.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from signals.llm.vafile import top_inner_products
 from signals.llm.warc import archive_pages
+from signals.llm.weighted_sampling import edited_fingerprints
 from signals.sources.scratch import write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,3 +306,99 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_weighted_fingerprints")
+def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts with their fingerprints, held against an edited text and the next document."""
+    made = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("print")).alias("fingerprint"),
+        F.lower(F.hex("edited_print")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query(
+    "op12_fill_in_middle",
+    sql=rf"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents
+    ), u AS (
+        SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+            ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+            ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+        FROM d
+    ), f AS (
+        SELECT *, len(units)::BIGINT AS n,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {RATE} THEN 'plain'
+                WHEN h4 % 100 < {SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+        FROM u
+    ), c AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM f
+    ), p AS (
+        SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+            array_to_string(units[b + 1:n], '') AS suffix
+        FROM c
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+        sha256(text) AS restored_sha256
+    FROM p
+    """,
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts cut for filling in the middle, and the texts rebuilt from the output."""
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=42)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
+_TERMS_SQL = (
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op13_lexical_search",
+    sql=f"""
+    WITH d AS (
+        SELECT doc_id, {_TERMS_SQL} AS terms FROM documents
+    ), s AS (
+        SELECT doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0
+    ), t AS (
+        SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM s
+    ), p AS (
+        SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL
+    ), q AS (
+        SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL
+    ), w AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM p, t WHERE term IN (SELECT term FROM q) GROUP BY term
+    ), m AS (
+        SELECT doc_id, 25 + (75 * n * docs) // words AS m FROM s, t
+    ), r AS (
+        SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM r WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

@@ -72,7 +72,8 @@ def format_chats(
 
     Rows are taken by turn, then role, then text; null turns come first and repeated rows are
     turns of their own. Null roles and texts are empty; a null conversation id is one conversation. Turns of one
-    conversation meet in one task, as its output is one value; sorting is inside that value only.
+    conversation meet in one task, as its output is one value; sorting is inside that value only, and texts of any length
+    are formatted whole. An empty table gives no rows; further columns of any name are ignored.
     """
     t = template
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
@@ -131,16 +132,17 @@ def format_chats(
 
 
 def read_chats(chats: DataFrame, template: Template = DEFAULT_TEMPLATE) -> DataFrame:
-    """Adds ``turns`` (role, text) parsed from ``formatted`` and ``loss_text`` from the segments under the mask."""
+    """Adds ``turns`` (role, text) parsed from ``formatted``, and ``loss_text``, the texts of those under the mask.
+
+    All columns of ``chats`` come back; existing ones of these two names are replaced. The inverse of ``format_chats``
+    for texts of any length and content, empty ones too: nothing but the formatted text is read. Null formatted texts
+    give null; an empty table gives no rows.
+    """
     t = template
     pattern = "(?s)" + re.escape(t.open) + "(.*?)" + re.escape(t.text) + "(.*?)" + re.escape(t.close)
     part = lambda n: F.transform(
         F.regexp_extract_all("formatted", F.lit(pattern), F.lit(n)), lambda x: unescaped(x, t)
     )
-    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t))
-    return chats.withColumns(
-        {
-            "turns": F.arrays_zip(part(1).alias("role"), part(2).alias("text")),
-            "loss_text": F.array_join(masked, ""),
-        }
-    )
+    read = chats.withColumn("turns", F.arrays_zip(part(1).alias("role"), part(2).alias("text")))
+    masked = F.filter("turns", lambda x: x["role"].isin(*t.loss_roles))
+    return read.withColumn("loss_text", F.array_join(F.transform(masked, lambda x: x["text"]), ""))

@@ -62,6 +62,39 @@ def source_targets(sources: DataFrame, weights: Sequence[int], cap: int) -> Data
     return weighted.select("source", "source_size", target.alias("target"))
 
 
+def expected_copies(classes: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """``source, weight, source_size, target, whole, p, gap0`` for each size class of a source.
+
+    ``classes`` is (source, weight, words), ``sources`` (source, source_size, target). A document's expected copies grow with
+    the weight of its size class, so that the source's expected words are its target, and stop at ``cap``: heavier classes that
+    reach it are held there and the rest of the target is spread over the lighter ones. Of the expected copies the
+    whole part is certain and the rest ``p`` the chance of one more; ``gap0`` is what certain copies leave of the target.
+    """
+    named = _with(classes, sources)
+    by_weight = Window.partitionBy("source").orderBy(F.desc("weight"))
+    heavier = by_weight.rowsBetween(Window.unboundedPreceding, -1)
+    lighter = by_weight.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("target") - F.lit(int(cap)) * F.coalesce(F.sum("words").over(heavier), F.lit(0))
+    level = F.try_divide(left, F.sum(F.col("words") * F.col("weight")).over(lighter).cast("double"))
+    levels = named.withColumn("level", level)
+    first = F.max_by("level", F.when(F.col("level") * F.col("weight") <= cap, F.col("weight"))).alias("level")
+    full = (F.col("target") >= F.lit(int(cap)) * F.col("source_size")) | F.col("level").isNull()
+    expected = (
+        F.when(F.col("source_size") == 0, F.lit(0.0))
+        .when(full, F.lit(float(cap)))
+        .otherwise(F.least(F.lit(float(cap)), F.col("level") * F.col("weight")))
+    )
+    certain = F.sum(F.col("words") * F.col("whole")).over(Window.partitionBy("source"))
+    return (
+        _with(named, levels.groupBy("source").agg(first))
+        .withColumn("expected", expected)
+        .withColumn("whole", F.floor("expected"))
+        .withColumn("p", F.col("expected") - F.col("whole"))
+        .withColumn("gap0", F.greatest(F.col("target") - certain, F.lit(0.0)))
+        .select("source", "weight", "source_size", "target", "whole", "p", "gap0")
+    )
+
+
 def pareto_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -75,46 +108,52 @@ def pareto_mix(
 
     ``carry`` names columns to bring along in a struct ``carried``, so that copies need no join to be made.
 
-    A source that needs r times its words gets floor(r) certain copies of each document. The remaining
-    fraction is the inclusion chance p of one more copy: documents are ranked by the odds of a
-    repeatable uniform draw divided by the odds of p, and taken in that order while their words fit
+    A document's expected copies grow with the bit length of its size (``expected_copies``): longer documents are
+    likelier, as they hold more connected text, but only by steps of one for each doubling. The whole part is
+    certain copies; the fraction p is the inclusion chance of one more: the documents of a source are ranked by the odds of a
+    repeatable uniform draw divided by the odds of their own p, and taken in that order while their words fit
     the rest of the target, so the sample's size is fixed in words. Documents larger than what is left are passed
     over and the ranking goes on with those that fit, ``PASSES`` times; at last one closing document is added if its
-    size brings the source nearer to its target. ``taken`` is size times copies.
+    size brings the source nearer to its target. ``taken`` is size times copies, at most ``cap`` of them.
 
-    Sizes are words; null and empty texts have none and are taken for nothing. Null sources form one
-    source, ranked last. Equal draws are ordered by id, then row; repeated rows are rows of their own.
+    Sizes are words; null and empty texts have none and add nothing. Null sources form one
+    source, ranked last. Equal ranks are ordered by draw, id, size and a hash of the row, so the result does not depend on
+    the order of rows; rows that agree in all of these are interchangeable. Repeated rows are rows of their own.
     An empty table gives no rows; further columns are ignored. ``row`` numbers the input rows.
 
-    A source's order is cut into slices of the draw. Whole slices are settled by a combining aggregate with
-    a fixed number of rows per source; only the slice that holds the end of the sample is sorted.
+    A source's order is cut into slices of the rank. Whole slices are settled by a combining aggregate with
+    a fixed number of rows per source; only the slice that holds the end of the sample is sorted, about
+    one in ``SLICES`` of a source's documents.
     """
-    rows = write_once(
+    size = word_count(F.col(text_col))
+    read = write_once(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
+            size.alias("size"),
+            F.length(F.bin(size)).alias("weight"),
             uniform(F.col(id_col)).alias("draw"),
+            F.xxhash64(text_col, *carry).alias("tie"),
             F.monotonically_increasing_id().alias("row"),
             *([F.struct(*carry).alias("carried")] if carry else []),
-        ).withColumn("slice", F.floor(F.col("draw") * SLICES).cast("int"))
-    )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(sources, weights, cap).withColumn(
-        "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    )
-    plan = write_once(
-        plan.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).withColumn(
-            "p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)
         )
     )
+    classes = write_once(read.groupBy("source", "weight").agg(F.sum("size").alias("words")))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
+    plan = write_once(expected_copies(classes, targets, cap))
+    state = plan.groupBy("source").agg(F.first("gap0").alias("gap0"))
+    own = plan.select(F.col("source").alias("_of"), F.col("weight").alias("_weight"), "source_size", "target", "whole", "p")
     odds = F.try_divide(F.col("draw") / (1 - F.col("draw")), F.try_divide(F.col("p"), 1 - F.col("p")))
-    place = F.struct(odds, "draw", "doc_id", "row")
-    state = plan.withColumn("gap0", F.col("rest"))
+    rows = (
+        read.join(own, F.col("source").eqNullSafe(F.col("_of")) & (F.col("weight") == F.col("_weight")))
+        .withColumn("xi", odds)
+        .withColumn("slice", F.floor(SLICES * (1 - 1 / (1 + F.col("xi")))).cast("int"))
+    )
+    place = F.struct("xi", "draw", "doc_id", "size", "tie", "row")
     taken = F.lit(False)
     for n in range(1, PASSES + 1):
         fits = (F.col("p") > 0) & ~taken & (F.col("size") <= F.col(f"gap{n - 1}"))
-        state = write_once(_one_pass(rows, state, fits, odds, place, n))
+        state = write_once(_one_pass(rows, state, fits, place, n))
         cut, end = F.col(f"cut{n}"), F.col(f"end{n}")
         taken = taken | (
             (F.col("p") > 0)
@@ -127,7 +166,7 @@ def pareto_mix(
         _with(rows, state)
         .where((F.col("p") > 0) & ~taken & (off < gap))
         .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), "doc_id", "row")).alias("c"))
+        .agg(F.min(F.struct(off.alias("off"), "doc_id", "size", "tie", "row")).alias("c"))
         .select("source", F.col("c.row").alias("closing_row"))
     )
     closes = F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
@@ -139,7 +178,7 @@ def pareto_mix(
     )
 
 
-def _one_pass(rows: DataFrame, state: DataFrame, fits: Column, odds: Column, place: Column, n: int) -> DataFrame:
+def _one_pass(rows: DataFrame, state: DataFrame, fits: Column, place: Column, n: int) -> DataFrame:
     """The state with ``cut, end, gap`` of pass n: of the documents that ``fits`` holds for, ranked by odds, those whose
     words together stay within the gap before are all in slices before the cut, or in it up to the end.
 
@@ -156,7 +195,7 @@ def _one_pass(rows: DataFrame, state: DataFrame, fits: Column, odds: Column, pla
         .select("source", F.col("c.slice").alias(f"cut{n}"), F.col("c.before").alias("_before"), "_all")
     )
     state = _with(state, cuts, "left")
-    order = Window.partitionBy("source").orderBy(odds, "draw", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     ends = (
         _with(rows, state)
         .where(fits & (F.col("slice") == F.col(f"cut{n}")))

@@ -14,7 +14,7 @@ from signals.llm.exact_dedup import exact_duplicates
 from signals.llm.fim import RATE, SUFFIX_FIRST, fill_in_middle, restored
 from signals.llm.html_extract import extract_main_text
 from signals.llm.lexical import ranked_search
-from signals.llm.line_dedup import remove_spread_lines
+from signals.llm.line_dedup import MIN_SITES, MIN_WORDS, SHORT_SHARE, SHORT_TEXTS, SITE_SHARE, remove_spread_lines
 from signals.llm.mixing import PASSES, pareto_mix
 from signals.llm.simhash import simhash_groups
 from signals.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -65,16 +65,22 @@ _FRAME = sum(len(s) for s in (DEFAULT_TEMPLATE.open, DEFAULT_TEMPLATE.text, DEFA
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
         UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), o AS (
+        SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
+            ORDER BY turn NULLS FIRST, role, text) AS path FROM r GROUP BY conv_id
+    ), m AS (
+        SELECT conv_id, regexp_full_match(path, 's?(ua)+') AS valid, length(regexp_extract(path, '^s?(ua)*u?')) AS good FROM o
     ), e AS (
         SELECT *, length({_sql_escaped("role")}) + length({_sql_escaped("text")}) + {_FRAME} AS n FROM r
     )
-    SELECT conv_id, count(*) AS n_turns,
+    SELECT e.conv_id, count(*) AS n_turns, any_value(valid) AS valid,
+        CASE WHEN NOT any_value(valid) THEN any_value(good) + 1 END AS first_bad,
         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
         sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
         sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text))
             AS loss_sha256,
         (sum(n) + {len(DEFAULT_TEMPLATE.bos + DEFAULT_TEMPLATE.eos)})::BIGINT AS formatted_chars
-    FROM e GROUP BY conv_id
+    FROM e JOIN m ON e.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY ALL
     """,
 )
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +95,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
+        "valid",
+        F.col("first_bad").cast("long").alias("first_bad"),
         F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
@@ -96,17 +104,23 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words of a shingle, and bits in which linked fingerprints may differ.
+SHINGLE_WORDS, MAX_BITS = 3, 2
+
+
 @query("op2_simhash_pivots")
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and the smallest id that links of at most two bits reach."""
-    return simhash_groups(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+    groups = simhash_groups(table(spark, sf_dir, "documents"), words=SHINGLE_WORDS, max_bits=MAX_BITS)
+    return groups.select("doc_id", "fingerprint", "component_id")
 
 
 _PASSES_SQL = (
     "".join(
         f"""s{i} AS (
-        SELECT *, CASE WHEN rest > 0 AND NOT fits AND size <= gap THEN sum(CASE WHEN NOT fits AND size <= gap THEN size ELSE 0 END)
-            OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) END AS through FROM c{i - 1}
+        SELECT *, CASE WHEN p > 0 AND NOT fits AND size <= gap
+            THEN sum(CASE WHEN p > 0 AND NOT fits AND size <= gap THEN size ELSE 0 END)
+            OVER (PARTITION BY source ORDER BY xi, u, doc_id ROWS UNBOUNDED PRECEDING) END AS through FROM c{i - 1}
     ), c{i} AS (
         SELECT * EXCLUDE (through, fits, gap), fits OR coalesce(through <= gap, false) AS fits,
             gap - coalesce(max(CASE WHEN through <= gap THEN through END) OVER (PARTITION BY source), 0) AS gap FROM s{i}
@@ -139,19 +153,32 @@ _PASSES_SQL = (
         WHERE most > level * w
     ), t AS (
         SELECT source, n, CASE WHEN 3 * n <= level * w THEN (3 * n)::DOUBLE ELSE level * w END AS target FROM s, l
-    ), p AS (
-        SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole,
-            CASE WHEN n > 0 THEN greatest(target - floor(target / n) * n, 0) ELSE 0 END AS rest FROM t
+    ), k AS (
+        SELECT source, weight, sum(size)::BIGINT AS words FROM (SELECT *, length(bin(size)) AS weight FROM d) GROUP BY ALL
+    ), h AS (
+        SELECT k.*, t.n, t.target, (t.target - 3 * coalesce(sum(words) OVER heavier, 0)::BIGINT) / (sum(words * weight) OVER lighter)::DOUBLE AS level
+        FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+        WINDOW heavier AS (PARTITION BY k.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            lighter AS (PARTITION BY k.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ), v AS (
+        SELECT source, arg_max(level, weight) FILTER (WHERE level * weight <= 3) AS level FROM h GROUP BY source
+    ), x AS (
+        SELECT h.source, h.weight, words, n, target, CASE WHEN n = 0 THEN 0 WHEN target >= 3 * n OR v.level IS NULL THEN 3
+            ELSE least(3, v.level * h.weight) END::DOUBLE AS expected
+        FROM h JOIN v ON h.source IS NOT DISTINCT FROM v.source
+    ), y AS (
+        SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p,
+            greatest(target - sum(words * floor(expected)::BIGINT) OVER (PARTITION BY source), 0) AS rest FROM x
     ), c0 AS (
-        SELECT d.*, p.n, p.target, p.whole, p.rest, false AS fits, p.rest AS gap
-        FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-    ), PASSES k AS (
+        SELECT d.*, y.n, y.target, y.whole, y.p, false AS fits, y.rest AS gap, d.u / (1 - d.u) / (y.p / (1 - y.p)) AS xi
+        FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source AND length(bin(d.size)) = y.weight
+    ), PASSES z AS (
         SELECT source, arg_min(doc_id, {'off': abs(size - gap), 'id': doc_id}) AS closing FROM g
-        WHERE rest > 0 AND NOT fits AND abs(size - gap) < gap GROUP BY source
+        WHERE p > 0 AND NOT fits AND abs(size - gap) < gap GROUP BY source
     )
     SELECT g.doc_id, g.size, g.n AS source_size, g.target,
-        (g.size * (g.whole + g.fits::BIGINT + coalesce(g.doc_id = k.closing, false)::BIGINT))::BIGINT AS taken
-    FROM g LEFT JOIN k ON g.source IS NOT DISTINCT FROM k.source
+        (g.size * (g.whole + g.fits::BIGINT + coalesce(g.doc_id = z.closing, false)::BIGINT))::BIGINT AS taken
+    FROM g LEFT JOIN z ON g.source IS NOT DISTINCT FROM z.source
     """.replace("PASSES", _PASSES_SQL),
 )
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,29 +187,25 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: Lines found on this many of the sources or more are boilerplate, if they have this many words.
-MIN_SITES, MIN_WORDS = 10, 4
-
-
 @query(
     "op4_line_dedup",
     sql=rf"""
     WITH l AS (
-        SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+        SELECT doc_id, source, sha256(text) AS digest, unnest(string_split(text, chr(10))) AS line,
             generate_subscripts(string_split(text, chr(10)), 1) AS place
         FROM documents
     ), k AS (
-        SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key,
-            regexp_matches(line, '^[ 	-
-]*([^ 	-
-]+[ 	-
-]+){{{{{MIN_WORDS - 1}}}}}[^ 	-
-]') AS long
-        FROM l
+        SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+    ), n AS (
+        SELECT greatest(3, ceil({SITE_SHARE} * count(DISTINCT source))) AS a, greatest(3, ceil({SHORT_SHARE} * count(DISTINCT source))) AS b,
+            ceil({SHORT_TEXTS} * count(DISTINCT sha256(text))) AS c
+        FROM documents
     ), b AS (
-        SELECT key FROM k WHERE long GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}
+        SELECT key FROM k, n WHERE words > 0 GROUP BY key, words >= {MIN_WORDS}, a, b, c
+        HAVING CASE WHEN words >= {MIN_WORDS} THEN least(count(DISTINCT source), count(DISTINCT digest)) >= least({MIN_SITES}, a)
+            ELSE count(DISTINCT source) >= least({10 * MIN_SITES}, b) AND count(DISTINCT digest) >= greatest(c, least({10 * MIN_SITES}, b)) END
     ), m AS (
-        SELECT doc_id, place, line, long AND key IN (SELECT key FROM b) AS out FROM k
+        SELECT doc_id, place, line, words > 0 AND key IN (SELECT key FROM b) AS out FROM k
     ), t AS (
         SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT out) AS text,
             count(*) AS lines, count_if(out)::BIGINT AS lines_removed
@@ -191,11 +214,11 @@ MIN_SITES, MIN_WORDS = 10, 4
     SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text,
         coalesce(t.lines, 0)::BIGINT AS lines, coalesce(t.lines_removed, 0)::BIGINT AS lines_removed
     FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
-    """.replace("{{", "{").replace("}}", "}"),
+    """,
 )
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that many sources share."""
-    clean = remove_spread_lines(table(spark, sf_dir, "documents"), min_sites=MIN_SITES, min_words=MIN_WORDS)
+    """All documents without the lines that different texts of many sources share."""
+    clean = remove_spread_lines(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "text", "lines", "lines_removed")
 
 

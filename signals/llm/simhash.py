@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +26,6 @@ BLOCK = 1 << 20
 PIVOTS = 16
 #: Fingerprints of one bucket compared in one task; larger buckets are dealt into pairs of chunks.
 CHUNK = 4096
-#: Bytes of shingle sets of one chunk when links are verified.
-SET_BYTES = 8 << 20
 
 
 def shingle_hashes(data: bytes, words: int) -> Iterator[np.ndarray]:
@@ -116,153 +114,6 @@ def with_fingerprints(docs: DataFrame, text: str, words: int, lanes: int = 1, an
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def shingle_set(data: bytes, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, in order."""
-    blocks = list(shingle_hashes(data, words))
-    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype=np.uint64)
-
-
-def set_fingerprint(shingles: np.ndarray, lanes: int, anchors: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``fingerprint``, of a set of hashes: a repeated shingle weighs no more than any other."""
-    if not len(shingles):
-        return np.zeros(lanes, dtype=np.uint64), np.zeros(anchors, dtype=np.uint64)
-    ones = np.zeros((lanes, 64), dtype=np.int64)
-    least = np.full(anchors, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    for part in range(0, len(shingles), 1 << 15):
-        h = shingles[part : part + (1 << 15)]
-        for lane in range(lanes):
-            ones[lane] += _bit_counts(mixed(h, lane) if lane else h)
-        for k in range(anchors):
-            least[k] = min(least[k], mixed(h, 1000 + k).min())
-    set_bits = (2 * ones > len(shingles)).astype(np.uint8)
-    return np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).reshape(-1), mixed(least, 1)
-
-
-def with_set_fingerprints(docs: DataFrame, text: str, words: int, lanes: int, anchors: int) -> DataFrame:
-    """The other columns with ``print``, ``anchors``, ``size`` and ``node`` (XXH64) of the set of shingles."""
-    bound_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.add("print", "binary").add("anchors", T.ArrayType(T.LongType()))
-    schema = schema.add("size", T.LongType()).add("node", T.LongType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints, low, sizes, nodes = [], [], [], []
-            for value in batch.column(text).cast(pa.binary()):
-                shingles = shingle_set(value.as_py() or b"", words)
-                p, a = set_fingerprint(shingles, lanes, anchors)
-                prints.append(p.astype("<u8").tobytes())
-                low.append(a.view(np.int64))
-                sizes.append(len(shingles))
-                nodes.append(_signed(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), 42)))
-            made = [pa.array(prints, pa.binary()), pa.array(low, pa.list_(pa.int64()))]
-            made += [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
-            names = [*keep, "print", "anchors", "size", "node"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=names)
-
-    return docs.select(*keep, text).mapInArrow(run, schema)
-
-
-def with_shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """The other columns with ``set``, the little-endian bytes of the distinct shingle hashes."""
-    bound_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.add("set", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(v.as_py() or b"", words).astype("<u8").tobytes() for v in batch.column(text).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(made, pa.binary())], names=[*keep, "set"])
-
-    return docs.select(*keep, text).mapInArrow(run, schema)
-
-
-def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the sets whose Jaccard similarity, counted on all elements, is ``similarity`` or more."""
-    links: list[tuple[int, int]] = []
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    stops = np.cumsum(sizes)
-    held = [flat[b - n : b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
-    mark = np.zeros(len(names), dtype=bool)
-    rest = np.arange(len(sets))
-    front: list[int] = []
-    while len(rest):
-        if not front:
-            front, rest = [int(rest[0])], rest[1:]
-        x = front.pop()
-        # Sizes alone exclude a pair; the margin leaves the decision at the threshold to the division below.
-        low, high = similarity * sizes[x] - 1, sizes[x] / similarity + 1
-        maybe = rest[(sizes[rest] >= low) & (sizes[rest] <= high)]
-        if not len(maybe):
-            continue
-        mark[held[x]] = True
-        shared = np.fromiter((np.count_nonzero(mark[held[y]]) for y in maybe), np.int64, len(maybe))
-        mark[held[x]] = False
-        near = maybe[shared / np.maximum(sizes[x] + sizes[maybe] - shared, 1) >= similarity]
-        links += [(x, int(y)) for y in near]
-        front += near.tolist()
-        rest = np.setdiff1d(rest, near, assume_unique=True)
-    return links
-
-
-def links_of_cells(cells: DataFrame, similarity: float) -> DataFrame:
-    """Verified links ``a, b`` in cells of (nodes, sets)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for nodes, sets in zip(batch.column("nodes"), batch.column("sets"), strict=True):
-                nodes = nodes.values.to_numpy()
-                for i, j in similar_links([np.frombuffer(v.as_py(), dtype="<u8") for v in sets.values], similarity):
-                    a.append(nodes[i])
-                    b.append(nodes[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.mapInArrow(run, "a bigint, b bigint")
-
-
-def verified_links(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` that join what similar sets join inside each label.
-
-    ``sets`` is (label, node, set) with one row a node, ``sizes`` (label, node, size); the label is a node of its own.
-    A label of more than ``CHUNK`` nodes or ``SET_BYTES`` is dealt into chunks. Each chunk meets the label's first
-    node, which joins the chunks of a close family at a cost that grows with its size; only labels that are still
-    in parts let every pair of chunks meet.
-    """
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("size") * 8 / SET_BYTES), F.lit(1))
-    dealt = sizes.groupBy("label").agg(parts.cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
-    rows = sets.join(dealt, "label").withColumn("own", own)
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    gathered = (F.collect_list("node").alias("nodes"), F.collect_list("set").alias("sets"))
-    near = (
-        rows.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("label"), every).otherwise(F.array("own"))))
-        .groupBy("label", "chunk")
-        .agg(*gathered)
-        .where(F.size("nodes") > 1)
-    )
-    links = write_once(links_of_cells(near.select("nodes", "sets"), similarity))
-    large = dealt.where(F.col("chunks") > 1)
-    if large.isEmpty():
-        return links
-    joined = connected_components(links).withColumnRenamed("label", "part")
-    of_large = sizes.join(large.select("label"), "label", "left_semi").join(joined, "node", "left")
-    part = F.coalesce("part", "node")
-    loose = of_large.groupBy("label").agg(F.min(part).alias("lo"), F.max(part).alias("hi")).where(F.col("lo") < F.col("hi"))
-    loose = write_once(loose.select("label"))
-    if loose.isEmpty():
-        return links
-    far = (
-        rows.join(loose, "label", "left_semi")
-        .withColumn("other", F.explode(every))
-        .where(F.col("own") != F.col("other"))
-        .groupBy("label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        .agg(*gathered)
-    )
-    return write_once(links.unionByName(links_of_cells(far.select("nodes", "sets"), similarity)))
-
-
 def spanning_links(prints: np.ndarray, table: np.ndarray, most: int) -> list[tuple[int, int]]:
     """A shortest spanning forest of the fingerprints (rows of uint64) that differ in at most ``most`` bits.
 
@@ -344,19 +195,29 @@ def simhash_groups(
     text_col: str = "text",
     words: int = 3,
     max_bits: int = 2,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id`` for 64-bit SimHash.
+    """One row per input row: ``doc_id, fingerprint, component_id, kept`` for 64-bit SimHash.
 
     Texts are lower-cased in A-Z and cut at ASCII white space. Fingerprints that differ in at most ``max_bits``
     bits are linked; ``component_id`` is the smallest id reachable. Equal fingerprints are one class, so copies
-    are never paired. Null and empty texts have fingerprint zero and link like any other. Null ids
-    never name a component unless it has no other. Repeated rows keep a row each; an empty table gives none.
+    are never paired. Of each component one row is ``kept``: that with the smallest id, null last, then by a hash of its text
+    and of the columns in ``carry``, which are brought along in a struct ``carried``. Null and empty texts have fingerprint
+    zero and link like any other. Null ids never name a component unless it has no other. Repeated rows keep a row each;
+    an empty table gives none; other columns of any name are ignored.
 
     Candidates are complete: of the eight bytes of a fingerprint at most ``max_bits`` differ in a linked pair, so
     the pair agrees in all others and meets in the bucket of those; a bucket holds at most
     256 ** max_bits different fingerprints, whatever the number of rows.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    brought = [F.struct(*carry).alias("carried")] if carry else []
+    read = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(text_col, *carry).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
+        *brought,
+    )
     digits = F.concat(*[F.substring(F.hex("print"), at, 2) for at in range(15, 0, -2)])
     rows = write_once(
         with_fingerprints(read, "text", words)
@@ -364,7 +225,8 @@ def simhash_groups(
         .withColumn("node", F.conv("hex", 16, -10).cast("bigint"))
         .drop("anchors")
     )
-    nodes = write_once(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("print").alias("print")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "row")
+    nodes = write_once(rows.groupBy("node").agg(F.min(place).alias("least"), F.min("print").alias("print")))
     kept = []
     for dropped in combinations(range(8), max_bits):
         mask = sum(0xFF << (8 * k) for k in range(8) if k not in dropped)
@@ -373,9 +235,15 @@ def simhash_groups(
     links = write_once(links_in_buckets(keys, nodes.select("node", "print"), 1, max_bits))
     labels = connected_components(links)
     named = write_once(nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = named.select("node", "label").join(smallest, "label").select("node", "component_id")
-    return rows.join(of_node, "node").select("doc_id", F.col("hex").alias("fingerprint"), "component_id")
+    smallest = named.groupBy("label").agg(F.min("least").alias("first"))
+    of_node = named.select("node", "label").join(smallest, "label").select("node", "first")
+    return rows.join(of_node, "node").select(
+        "doc_id",
+        F.col("hex").alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
+        (F.col("row") == F.col("first.row")).alias("kept"),
+        *(["carried"] if carry else []),
+    )
 
 
 def _signed(mask: int) -> int:
@@ -390,80 +258,3 @@ def radius(similarity: float, bits: int, slack: float) -> int:
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-
-
-def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    similarity: float = 0.8,
-    lanes: int = 8,
-    anchors: int = 8,
-    slack: float = 4.0,
-) -> DataFrame:
-    """``doc_id, text_key, label`` for each distinct (id, text): documents of one label are near copies.
-
-    Documents are linked if the Jaccard similarity of their sets of shingle hashes, counted in full, is
-    ``similarity`` or more. Candidates are texts that share the smallest shingle hash of one of ``anchors`` streams (a pair of
-    similarity s misses all with the chance (1 - s) ** anchors, 0.000003 at 0.8) and whose fingerprints of ``lanes``
-    times 64 bits are within ``slack`` standard deviations of that similarity (a pair at the threshold misses with the
-    chance 0.00003 at 4). Candidates only bring texts together: each of their components is then linked by the sets alone.
-    Texts of fewer words are one shingle. Null and empty texts are copies of each other.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    rows = write_once(with_set_fingerprints(read, "text", words, lanes, anchors).distinct())
-    nodes = write_once(
-        rows.groupBy("node").agg(
-            F.min("print").alias("print"),
-            F.min("anchors").alias("anchors"),
-            F.min("size").alias("size"),
-            F.min(F.struct("doc_id", "text_key")).alias("held"),
-        )
-    )
-    keys = nodes.select("node", F.posexplode("anchors").alias("k", "anchor")).select(
-        "node", F.xxhash64("k", "anchor").alias("key")
-    )
-    most = radius(similarity, 64 * lanes, slack)
-    near = write_once(links_in_buckets(keys, nodes.select("node", "print"), lanes, most))
-    asked = write_once(nodes.join(connected_components(near), "node").select("label", "node", "size", "held"))
-    found = read.withColumn("_at", F.xxhash64("doc_id", "text_key")).join(
-        asked.select("label", "node", "held", F.xxhash64("held.doc_id", "held.text_key").alias("_at")), "_at"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("held.doc_id")) & (F.col("text_key") == F.col("held.text_key"))
-    sets = with_shingle_sets(found.where(same).select("label", "node", "text"), "text", words)
-    sets = write_once(sets.dropDuplicates(["label", "node"]))
-    links = verified_links(sets, asked.select("label", "node", "size"), similarity)
-    labels = connected_components(links)
-    return write_once(
-        rows.select("doc_id", "text_key", "node").join(labels, "node", "left").select(
-            "doc_id", "text_key", F.coalesce("label", "node").alias("label")
-        )
-    )
-
-
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    similarity: float = 0.8,
-    lanes: int = 8,
-    anchors: int = 8,
-    slack: float = 4.0,
-) -> DataFrame:
-    """Groups of near copies: ``doc_id, text_key, group_id, kept`` for each distinct (id, text).
-
-    Groups are those of ``near_groups``, and one of each stays: that with the smallest id, null
-    last, then the smallest key. ``text_key`` is the XXH64 of the text, so rows can be found again by content.
-    Repeated rows are one row here.
-    """
-    grouped = near_groups(docs, id_col, text_col, words, similarity, lanes, anchors, slack)
-    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
-    return grouped.join(first, "label").select(
-        "doc_id",
-        "text_key",
-        F.col("m.doc_id").alias("group_id"),
-        (F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_key") == F.col("m.text_key"))).alias("kept"),
-    )

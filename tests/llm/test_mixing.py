@@ -13,7 +13,7 @@ from signals.llm.mixing import PASSES, pareto_mix
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, weights=(1, 2, 3), cap=3):
+def brute(rows, weights=(1, 2, 3), cap=3, odds=True):
     """Words taken by (doc_id, source), by a plain loop."""
     docs = defaultdict(list)
     for d, t, s in rows:
@@ -33,10 +33,24 @@ def brute(rows, weights=(1, 2, 3), cap=3):
         free = [s for s in free if s not in full]
     taken = {}
     for s in names:
-        whole = math.floor(target[s] / size[s]) if size[s] else 0
-        rest = max(target[s] - whole * size[s], 0)
-        gap, more = rest, set()
-        order = sorted(docs[s], key=lambda x: (x[0], -1 if x[1] is None else x[1]))
+        heavy = lambda n: len(f"{n:b}")
+        expected = {d: 0.0 for _, d, _ in docs[s]}
+        if target[s] >= cap * size[s] > 0:
+            expected = {d: float(cap) for d in expected}
+        elif size[s]:
+            held, open_ = 0, sorted({heavy(n) for _, _, n in docs[s]}, reverse=True)
+            while True:  # the heaviest class above the cap is held there, the rest spread again
+                level = (target[s] - held) / sum(n * heavy(n) for _, _, n in docs[s] if heavy(n) in open_)
+                if level * open_[0] <= cap:
+                    break
+                held += cap * sum(n for _, _, n in docs[s] if heavy(n) == open_[0])
+                open_ = open_[1:]
+            expected = {d: min(cap, level * heavy(n)) for _, d, n in docs[s]}
+        whole = {d: math.floor(e) for d, e in expected.items()}
+        p = {d: e - whole[d] for d, e in expected.items()}
+        gap, more = max(target[s] - sum(n * whole[d] for _, d, n in docs[s]), 0), set()
+        xi = lambda u, d: u / (1 - u) / (p[d] / (1 - p[d])) if odds else u
+        order = sorted((x for x in docs[s] if p[x[1]] > 0), key=lambda x: (xi(x[0], x[1]), x[0], -1 if x[1] is None else x[1]))
         for _ in range(PASSES):
             through = 0
             for _, d, n in [x for x in order if x[1] not in more and x[2] <= gap]:
@@ -46,9 +60,9 @@ def brute(rows, weights=(1, 2, 3), cap=3):
                 more.add(d)
             gap -= through
         others = [(abs(n - gap), d) for u, d, n in order if d not in more and abs(n - gap) < gap]
-        more |= {min(others)[1]} if others and rest else set()
+        more |= {min(others)[1]} if others else set()
         for _, d, n in docs[s]:
-            taken[d] = (n, size[s], pytest.approx(target[s]), n * (whole + (d in more and rest > 0)))
+            taken[d] = (n, size[s], pytest.approx(target[s]), n * (whole[d] + (d in more)))
     return taken
 
 
@@ -59,6 +73,7 @@ def test_same_as_a_plain_loop(documents):
     got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in pareto_mix(documents(rows)).collect()}
     expected = brute(rows)
     assert {k: tuple(v) for k, v in got.items()} == expected
+    assert {k: v[3] for k, v in brute(rows, odds=False).items()} != {k: v[3] for k, v in got.items()}
     near = defaultdict(lambda: [0, 0.0])
     for d, _, s in rows:
         near[s][0] += got[d][3]
@@ -75,6 +90,28 @@ def test_reruns_agree_and_odd_rows(documents, odd_rows):
     assert sizes[1] == (0, 0) and sizes[5] == (0, 0) and sizes[6][0] == 40_001
 
 
+def test_longer_documents_are_likelier(documents):
+    """Within a source the share of documents taken grows with the bit length of the size."""
+    rows = [(i, "w " * (1 << (i % 6)), "a") for i in range(3000)] + [(9000 + i, "w " * 30, "b") for i in range(100)]
+    share = {n: [0, 0] for n in range(6)}
+    for r in pareto_mix(documents(rows), weights=(1, 20)).where("source = 'a'").collect():
+        share[r.doc_id % 6][0] += r.copies
+        share[r.doc_id % 6][1] += 1
+    rates = [a / b for a, b in share.values()]
+    assert all(x < y + 0.05 for x, y in zip(rates, rates[1:])) and rates[5] > 3 * rates[0]
+
+
+def test_order_of_rows_changes_nothing(documents):
+    draw = random.Random(8)
+    rows = [(i % 40, "w " * draw.randint(0, 50), draw.choice("ab")) for i in range(300)]
+    results = []
+    for _ in range(3):
+        draw.shuffle(rows)
+        mix = pareto_mix(documents(rows, clash=False).repartition(draw.randint(1, 6)))
+        results.append(sorted((r.doc_id, r.source, r["size"], r.taken) for r in mix.collect()))
+    assert results[0] == results[1] == results[2]
+
+
 def test_carried_columns_and_empty(documents):
     r = pareto_mix(documents([(1, "a b", "s")]), carry=["doc_id", "text", "slice"]).first()
     assert r.carried.text == "a b" and r.copies == 1 and r.carried.slice == 7

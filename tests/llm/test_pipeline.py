@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -14,6 +13,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from signals.llm.bpe import Codec  # noqa: E402
 from signals.llm.mixing import pareto_mix  # noqa: E402
+from test_simhash import plain, union  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -75,7 +75,7 @@ def test_shared_lines_go(steps):
     for r in before:
         for line in (r.text or "").split("\n"):
             spread[line.strip()].add(r.source)
-    out = {k for k, s in spread.items() if len(s - {None}) >= 10 and len(k.split()) >= 4}
+    out = {k for k, s in spread.items() if len(s - {None}) >= 3 and len(k.split()) >= 4}
     assert out == {LINE}
     expected = []
     for r in before:
@@ -85,25 +85,18 @@ def test_shared_lines_go(steps):
 
 
 def test_one_of_each_group_stays(steps):
-    before = sorted(set(map(tuple, steps["line dedup"].collect())), key=lambda r: (r[0] is None, r[0]))
-
-    def shingles(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    stays = []
-    for r in before:
-        s = shingles(r[1])
-        if not any(len(s & t) >= 0.8 * len(s | t) for t in map(shingles, (x[1] for x in stays))):
-            stays.append(r)
-    assert key(steps["simhash near-dedup"].collect()) == key(stays)
+    before = sorted(set(map(tuple, steps["line dedup"].collect())), key=lambda r: (r[0] is None, r[0] or 0))
+    prints = [plain(r[1]) for r in before]
+    label = union([(i, j) for i in range(len(before)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2], range(len(before)))
+    assert key(steps["simhash near-dedup"].collect()) == key(r for i, r in enumerate(before) if label[i] == i)
+    assert len(set(label.values())) < len(before) - 3
 
 
 def test_mix_repeats_and_drops(steps):
     before = steps["simhash near-dedup"]
-    copies = {r.doc_id: r.copies for r in pareto_mix(before).collect()}
+    copies = {r.doc_id: r.copies for r in pareto_mix(before, carry=before.columns).collect()}
     expected = [tuple(r) for r in before.collect() for _ in range(copies[r.doc_id])]
-    assert key(steps["source mix"].collect()) == key(expected) and max(copies.values()) <= 4
+    assert key(steps["source mix"].collect()) == key(expected) and max(copies.values()) <= 3
 
 
 def test_tokens(steps):
@@ -121,6 +114,35 @@ def test_run_is_all_stages(spark, folder, steps):
     assert key(corpus_pipeline.run(spark, folder[0]).collect()) == key(steps["bpe"].collect())
 
 
+def odd_documents(spark):
+    """Ties, nulls, repeated rows, a long text, and columns whose names the operators use inside."""
+    rows = [(5, "same text of some words here", "s1"), (5, "same text of some words here", "s1"), (5, "another text with that id", "s2")]
+    rows += [(None, "no id", None), (None, None, "s1"), (6, "", "s2"), (7, "long " * 60_000 + "end", "s3"), (8, "long " * 60_000 + "end", "s3")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], SCHEMA)
+    clashing = "row_a row_b site text_key line lines lines_removed drop kept all key node tie row carried doc_id_ toxic _toxic score copy"
+    return docs.selectExpr("*", *[f"'mine' AS {c}" for c in clashing.split()])
+
+
+@pytest.mark.parametrize("n", range(4))
+def test_stages_on_odd_rows_and_clashing_names(spark, folder, n):
+    docs = odd_documents(spark)
+    name, stage = corpus_pipeline.STAGES[n]
+    out = stage(spark, docs, folder[0])
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert {r[c] for r in kept for c in docs.columns[5:]} == {"mine"}
+    texts = sorted(str((r.doc_id, r.text)) for r in kept)
+    if name == "simhash near-dedup":
+        assert len(kept) == 5 and texts == sorted(set(texts)) and {r.doc_id for r in kept} == {5, 6, 7, None}
+    elif name != "source mix":
+        assert texts == sorted(str((r.doc_id, r.text)) for r in docs.collect())
+
+
+def test_last_stage_on_odd_rows(spark, folder):
+    out = corpus_pipeline.bpe(spark, odd_documents(spark), folder[0])
+    assert out.count() == 8 and out.where("doc_id = 6").first().n_tokens == 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -4,13 +4,10 @@ import random
 import re
 
 import numpy as np
-import pytest
 import xxhash
 
 from signals.llm.components import connected_components
-from signals.llm.simhash import (
-    BLOCK, fingerprint, links_in_buckets, near_duplicates, pivot_table, radius, simhash_groups, spanning_links,
-)
+from signals.llm.simhash import BLOCK, fingerprint, links_in_buckets, pivot_table, radius, simhash_groups, spanning_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,25 +105,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize("edits,same", [(0, True), (1, True), (3, True), (60, False)])
-def test_near_copies(documents, edits, same):
-    draw = random.Random(edits)
-    rows = []
-    for g in range(12):
-        text = [f"w{draw.randrange(5000)}" for _ in range(300)]
-        copy = list(text)
-        for _ in range(edits):
-            copy[draw.randrange(300)] = "edited"
-        rows += [(2 * g, " ".join(text), "s"), (2 * g + 1, " ".join(copy), "s")]
-    kept = {r.doc_id for r in near_duplicates(documents(rows)).where("kept").collect()}
-    assert kept == ({2 * g for g in range(12)} if same else {r[0] for r in rows})
-
-
-def test_near_duplicates_of_odd_rows(documents, odd_rows):
-    got = near_duplicates(documents(odd_rows))
-    kept = sorted((r.doc_id for r in got.where("kept").collect()), key=str)
-    assert kept == sorted([1, 3, 6, 7, 8, None], key=str)
-    assert near_duplicates(documents([])).count() == 0
+def test_one_row_of_each_component_is_kept(documents, odd_rows):
+    rows = odd_rows + [(None, "no id at all but a text", "z"), (9, "one", "b"), (9, "two other words", "b")]
+    for shuffled in (rows, rows[::-1]):
+        docs = documents(shuffled)
+        got = simhash_groups(docs, carry=docs.columns).where("kept").collect()
+        assert sorted((str(r.doc_id), r.carried.text) for r in got) == sorted(
+            [("1", None), ("3", odd_rows[2][1]), ("6", odd_rows[6][1]), ("7", odd_rows[8][1]), ("8", "one"), ("9", "two other words")]
+            + [("None", "no id at all but a text")]
+        )
+        assert {r.carried.node for r in got} == {7}
 
 
 def test_radius_grows_with_distance():

@@ -7,68 +7,83 @@ the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signals.llm.bpe import encode_texts
 from signals.llm.line_dedup import remove_spread_lines
 from signals.llm.mixing import pareto_mix
-from signals.llm.queries import MIN_SITES, MIN_WORDS, TOKENIZER
-from signals.llm.simhash import near_duplicates
+from signals.llm.queries import MAX_BITS, SHINGLE_WORDS, TOKENIZER
+from signals.llm.simhash import simhash_groups
 from signals.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from signals.sources.scratch import write_once
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under a half; the model never saw the labels held out for measuring it."""
+    """Documents scored under a half; the model never saw the labels held out for measuring it.
+
+    Null and empty texts get the score of the model's bias. Repeated rows are scored each; without labels every score is the
+    same; an empty table gives no rows. All columns come back, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score_toxicity(docs, model, name="_toxic").where(F.col("_toxic") < 0.5).select(*docs.columns)
+    score = _free("toxic", docs)
+    return score_toxicity(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources share; ``n_chars`` follows the text.
+    """Documents without the lines that different texts of many sources share; ``n_chars`` follows the text.
 
-    Near copies count as one document here: their lines must last until the next stage has chosen one of them.
+    Near copies count as one text here: their lines must last until the next stage has chosen one of them. Null texts
+    stay null and keep their ``n_chars``; repeated rows keep a row each; an empty table gives no rows. All columns come
+    back, but those named ``lines`` and ``lines_removed``, which the operator replaces, as they were given.
     """
-    clean = remove_spread_lines(docs, min_sites=MIN_SITES, min_words=MIN_WORDS, copies_count=False)
+    names = {c: _free(c, docs) for c in ("lines", "lines_removed") if c in docs.columns}
+    clean = remove_spread_lines(docs.withColumnsRenamed(names), near_copies=True)
     length = F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return clean.select(*[length.alias(c) if c == "n_chars" else F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+    """One document of each group of near copies: fingerprints of three-word shingles that links of two bits reach.
 
-    Rows that repeat an id and a text are copies like any other; the first by the other columns stays.
+    The row with the smallest id stays, null last, then by a hash of all its columns; equal rows are copies like any
+    other. Null and empty texts are copies of each other. An empty table gives no rows. All columns come back,
+    whatever their names.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), words=5, similarity=0.8)
-    stays = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    text_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = Window.partitionBy("doc_id", "_key").orderBy(*others)
-    return (
-        docs.withColumn("_text_key", text_key)
-        .join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-        .withColumn("_nth", F.row_number().over(first))
-        .where(F.col("_nth") == 1)
-        .select(*docs.columns)
-    )
+    groups = simhash_groups(docs, words=SHINGLE_WORDS, max_bits=MAX_BITS, carry=docs.columns)
+    return groups.where("kept").select("carried.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; copies are rows of their own."""
+    """Documents as often as the mix of sources takes them; copies are rows of their own.
+
+    Null and empty texts count no words, null sources are one source, repeated rows are drawn each; an empty table gives
+    no rows. All columns come back, whatever their names.
+    """
     mix = pareto_mix(docs, carry=docs.columns).where(F.col("copies") > 0)
-    return mix.select("carried.*", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
+    return mix.select("carried", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("carried.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256``: the token ids of each document taken, and a digest of what they decode to."""
+    """``doc_id, n_tokens, ids, decoded_sha256``: the token ids of each document taken, and a digest of what they decode to.
+
+    Null texts count as empty, which have no tokens; repeated rows keep a row each; texts of any length are encoded whole;
+    an empty table gives no rows; further columns are ignored.
+    """
     coded = encode_texts(docs, public_tokenizers.path(TOKENIZER))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A name that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 STAGES = [
     ("toxicity", toxicity),
     ("line dedup", line_dedup),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signals.llm.batches import bound_batches
@@ -16,6 +16,8 @@ from signals.sources.scratch import write_once
 #: Orders of the n-grams, and the bits of the table they are hashed into.
 ORDERS = (3, 5, 7)
 BITS = 20
+#: Bits of the hash by which labelled documents are chosen.
+SLICE_BITS = 16
 #: Characters of a text hashed at once, so that a text of any length needs bounded memory.
 BLOCK = 1 << 20
 
@@ -69,11 +71,17 @@ def _places(grams: np.ndarray) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
     """``text, label`` of at most ``max_rows`` labelled documents, those of the smallest hashed ids.
 
+    The cut is at a whole slice of the hash, of 65,536, so up to one slice fewer are taken.
     Null labels teach nothing; of several labels or texts of an id the largest label and text count.
     """
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    one = named.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
-    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    one = write_once(named.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("label")))
+    # The smallest hashes are found by counts per slice of the hash, so no task gathers candidates of all others.
+    slices = one.groupBy(F.shiftrightunsigned(F.xxhash64("_id"), 64 - SLICE_BITS).alias("slice")).count().orderBy("slice")
+    through = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    fits = slices.withColumn("through", F.sum("count").over(through)).where(F.col("through") <= max_rows)
+    last = fits.agg(F.max("slice")).first()[0]
+    chosen = one.where(F.shiftrightunsigned(F.xxhash64("_id"), 64 - SLICE_BITS) <= F.lit(-1 if last is None else last))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.max("text").alias("text"))
 
@@ -85,20 +93,22 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 20_000,
-    max_features: int = 2_048,
+    max_features: int = 1_024,
     min_rows: int = 5,
     decay: float = 1e-3,
     steps: int = 300,
+    balance: float = 0.5,
 ) -> ToxicityModel:
     """Learn from the labelled rows given.
 
     Whole texts are used. Presence of each n-gram is counted by class, its ratio is log((p + 1) / (P + 2)) -
     log((q + 1) / (Q + 2)), and the ``max_features`` n-grams of the largest ratio times root of rows are kept, among
-    those in ``min_rows`` rows. A logistic regression learns weights for the ratios. ``max_rows`` bounds the
-    sample and with ``max_features`` what reaches the driver. Without rows of both classes the model is a constant,
-    the share of toxic rows, a half of one without any.
+    those in ``min_rows`` rows. A logistic regression learns weights for the ratios; rows count by the share of
+    the other class to the power ``balance``, as toxic rows are few. ``max_rows`` bounds the sample and with ``max_features``
+    what reaches the driver; more features find less, as rare n-grams fit the sample and not its kind (figures in README). Without
+    rows of both classes the model is a constant, the share of toxic rows, a half of one without any. Null texts count as
+    empty, labels of unknown ids teach nothing, repeated rows of an id count once.
     """
-
     bound_batches(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows)
     sample = write_once(rows.select("label", "text"))
@@ -147,14 +157,16 @@ def fit_toxicity(
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     of_row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
     column = np.asarray(lists.flatten())
-    weights, bias = _logistic(of_row, column, ratios, data["label"].to_numpy().astype(float), decay, steps)
+    y = data["label"].to_numpy().astype(float)
+    counted = np.where(y > 0, n / (2 * toxic), n / (2 * clean)) ** balance
+    weights, bias = _logistic(of_row, column, ratios, y, counted, decay, steps)
     return ToxicityModel(names, (weights * ratios).astype(np.float32), bias)
 
 
 def _logistic(
-    of_row: np.ndarray, column: np.ndarray, ratios: np.ndarray, y: np.ndarray, decay: float, steps: int
+    of_row: np.ndarray, column: np.ndarray, ratios: np.ndarray, y: np.ndarray, counted: np.ndarray, decay: float, steps: int
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression with squared penalty, by Adam over all rows at once."""
+    """Weights and bias of a logistic regression on counted rows with squared penalty, by Adam over all rows at once."""
     n, k = len(y), len(ratios)
     order = np.lexsort((column, of_row))
     of_row, column = of_row[order], column[order]
@@ -162,7 +174,7 @@ def _logistic(
     w, first, second = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
         z = np.bincount(of_row, value * w[column], n) + w[k]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        error = counted * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / counted.sum()
         slope = np.append(np.bincount(column, value * error[of_row], k) + decay * w[:k], error.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2

@@ -17,9 +17,12 @@ CELL_BITS, VECTORS, QUERIES = 6, 4096, 1024
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``vec_id, v`` with every component x as floor(scale * x); vectors that are null or hold null or
-    non-finite components are left out, as are second rows of an equal id and vector."""
+    non-finite components are left out, as are those with components so large that inner products of such vectors may not
+    fit 64 bits (scale * |x| over the root of 2 ** 62 / length), and second rows of an equal id and vector."""
     number = lambda x: x.cast("double")
-    bad = lambda x: number(x).isNull() | F.isnan(number(x)) | (F.abs(number(x)) == F.lit(float("inf")))
+    most = F.sqrt(F.lit(float(1 << 62)) / F.greatest(F.size(F.col("v")), F.lit(1)))
+    large = lambda x: F.abs(number(x)) * F.lit(float(scale)) + 1 > most
+    bad = lambda x: number(x).isNull() | F.isnan(number(x)) | large(x)
     return (
         vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
         .where(F.col("v").isNotNull() & ~F.exists("v", bad))
@@ -45,7 +48,9 @@ def top_inner_products(
 
     ``is_query`` is a condition on ``vec_id``. Scores are inner products of the integer vectors, ties go to the
     smaller id, fewer candidates give fewer rows. Only vectors of one length are compared. Vectors that are null or hold
-    null or non-finite components take no part, nor does a null id; repeated rows of an equal id and vector count once.
+    null, non-finite or very large components (``integer_vectors``) take no part, nor does a null id; repeated rows of an equal
+    id and vector count once. Different vectors of one id are candidates each, and as queries each has a list of its own under
+    that id. An empty table gives no rows; further columns are ignored.
 
     Equal vectors are one class with its k + 1 smallest ids, which is all that any answer can use. The
     approximation file holds a cell number per component. Blocks of queries meet blocks of cells: cells bound
@@ -107,8 +112,10 @@ def top_inner_products(
         cells = np.frombuffer(b"".join(near["cells"].to_pylist()), np.uint8).reshape(near.num_rows, width).astype(np.float64)
         q = _matrix(wanted["v"], width).astype(np.float64) if width else np.zeros((wanted.num_rows, 0))
         base = (q * step) @ cells.T + (q @ low.astype(np.float64))[:, None]
-        above = (np.maximum(q, 0) * (step - 1)).sum(axis=1)
-        below = (np.minimum(q, 0) * (step - 1)).sum(axis=1)
+        # What rounding can add up to in doubles, so that bounds hold for integers of any size.
+        slack = (np.abs(q) * (np.abs(low.astype(np.float64)) + step * float(1 << CELL_BITS))).sum(axis=1) * 2.0**-46
+        above = (np.maximum(q, 0) * (step - 1)).sum(axis=1) + slack
+        below = (np.minimum(q, 0) * (step - 1)).sum(axis=1) - slack
         # Besides its own class a query needs k vectors.
         kth = min(k + 1, base.shape[1])
         least = np.partition(base, base.shape[1] - kth, axis=1)[:, base.shape[1] - kth] + below if base.shape[1] >= k + 1 else np.full(len(q), -np.inf)

@@ -22,8 +22,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def record_id(page: Column, url: Column, digest: Column) -> Column:
-    """The record id of a page as a URN, from its content alone."""
-    h = F.md5(F.concat_ws("\n", page.cast("string"), url, digest))
+    """The record id of a page as a URN, from its content alone; a null part differs from a blank, and each carries its length."""
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    h = F.md5(F.concat(part(page.cast("string")), part(url), part(digest)))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 

@@ -54,3 +54,10 @@ def test_odd_vectors(spark):
     ]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == [] and run(spark, [(1, [1.0])]) == [] and run(spark, [(0, [1.0])]) == []
+
+
+def test_huge_components_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e12, 1.0]), (2, [0.5, 0.5]), (5, [-1e300, 0.0]), (10, [3e7, -3e7])]
+    got = run(spark, rows)
+    small = [r for r in rows if all(abs(x) * 256 + 1 <= math.sqrt(2**62 / 2) for x in r[1])]
+    assert [i for i, _ in small] == [0, 2] and got == brute(small)

@@ -4,7 +4,8 @@
     python -m signals forecast-predict --out OUT
     python -m signals mask --customers C --out OUT --salt S --row-key "Cod. Cliente" --hide-unknown-text
 
-Inputs are parquet tables of text columns, or exported CSV sheets (a ``.csv`` file or a pattern of them).
+Inputs are parquet tables of text columns, or exported CSV sheets (a ``.csv`` file or a pattern of them). Sheets are masked by the
+header of each file, banner and layout kept.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from signals.plans.monitoring_step import run_monitoring_step
 from signals.plans.weekly import run_weekly
 from signals.plans.workspace import Sizes, Workspace
 from signals.sources.scratch import drop_scratch, scratch_run
-from signals.sources.sheets import ingest_sheets
+from signals.sources.sheets import files_of, ingest_sheets, mask_sheet_files
 from signals.sources.tables import path_exists
 
 INPUTS = ("purchases", "customers", "factory_orders")
@@ -57,12 +58,13 @@ def main(argv: list[str] | None = None) -> None:
     for name, value in vars(Sizes()).items():
         if not isinstance(value, bool):
             parser.add_argument("--" + name.replace("_", "-"), type=type(value), default=value)
+    parser.add_argument("--series", nargs="+", default=(), help="customer columns that split the revenue into series")
     parser.add_argument("--leak-free", action="store_true")
     parser.add_argument("--one-row-per-order", action="store_true")
     args = vars(parser.parse_args(argv))
 
     spark = SparkSession.builder.appName("signals").getOrCreate()
-    ws = Workspace(spark, args["out"], sizes=Sizes(**{k: args[k] for k in vars(Sizes())}))
+    ws = Workspace(spark, args["out"], sizes=Sizes(**{k: args[k] for k in vars(Sizes())}), series=tuple(args["series"]))
     if args["step"] in STEPS:
         with scratch_run() as run:
             try:
@@ -77,7 +79,10 @@ def main(argv: list[str] | None = None) -> None:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
         for name in INPUTS:
             path = args[name]
-            if path and path_exists(spark, path):
+            if path and (files_of(spark, path) if path.endswith(".csv") else path_exists(spark, path)):
+                if path.endswith(".csv"):
+                    mask_sheet_files(spark, path, ws.path(name), args["salt"])
+                    continue
                 raw = read_input(spark, path)
                 masked = mask_rows(raw, args["salt"], args["row_key"] or (), args["hide_unknown_text"])
                 masked.write.mode("overwrite").parquet(ws.path(name))

@@ -13,8 +13,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from signals.catalog.registry import query, rounded, table
 from signals.functions.text import parse_count, parse_day_first, parse_money
-from signals.operators.clean import clean_customers, clean_factory_orders, clean_purchases, parse_purchases
-from signals.operators.enrich import address_misses, enrich_addresses, gazetteer_provider, updated_cache
+from signals.operators.clean import clean_customers, clean_factory_orders, clean_purchases, is_usable, parse_purchases
+from signals.operators.enrich import address_misses, enrich_addresses, gazetteer_provider, repaired_cache, updated_cache
 from signals.operators.masking import (
     CITIES,
     FIRST_NAMES,
@@ -23,7 +23,16 @@ from signals.operators.masking import (
     STREETS,
     mask_table,
 )
-from signals.operators.quality import gate_status, quality_report
+from signals.operators.quality import (
+    ACCEPTED,
+    CUSTOMER_RULES,
+    FACTORY_RULES,
+    PURCHASE_RULES,
+    SITUATION,
+    gate_status,
+    quality_report,
+    write_checked,
+)
 from signals.sources.scratch import scratch_path
 from signals.sources.sheets import HEADER_HINTS, LINE, header_line, ingest_sheets, mask_sheet, numbered_body, text_schema
 
@@ -284,6 +293,71 @@ def quality_gate_query(spark, d):
     return gate_status(_issues(spark, d))
 
 
+def _write_all_checked(spark, d) -> list[tuple[str, str, DataFrame, DataFrame]]:
+    """The three parsed tables written and checked in one pass each: dataset, path, issues, usable rows."""
+    tables = (
+        (parse_purchases(raw_purchases(spark, d)), PURCHASE_RULES, is_usable(("id_cliente", "id_pedido"), ("data_compra",))),
+        (clean_customers(raw_customers(spark, d)), CUSTOMER_RULES, None),
+        (clean_factory_orders(raw_factory_orders(spark, d)), FACTORY_RULES, None),
+    )
+    out = []
+    for df, rules, usable in tables:
+        path = scratch_path(spark)
+        out.append((rules.dataset, path, *write_checked(df, rules, path, usable)))
+    return out
+
+
+@query("quality_report_observed", f"WITH {QUALITY_CTE} SELECT * FROM issues")
+def quality_report_observed(spark, d):
+    """The same report from what is observed while the parsed tables are written, without a second pass over the raw ones."""
+    (_, _, report, _), *rest = _write_all_checked(spark, d)
+    for _, _, issues, _ in rest:
+        report = report.unionByName(issues)
+    return report
+
+
+@query("checked_tables", f"""WITH {RAW_PURCHASES}, {RAW_CUSTOMERS}, {RAW_FACTORY},
+u AS (SELECT *, coalesce(id_cliente, '') <> '' AND coalesce(id_pedido, '') <> '' AND data_compra IS NOT NULL ok FROM pp)
+SELECT 'compras' dataset, CASE WHEN ok THEN 'aceita' ELSE 'rejeitada' END situacao, count(*) linhas, count(DISTINCT id_pedido) pedidos,
+  round(sum(valor_total), 2) valor FROM u GROUP BY ok
+UNION ALL SELECT 'clientes', 'aceita', count(*), NULL, NULL FROM pc
+UNION ALL SELECT 'pedidos_cd', 'aceita', count(*), count(DISTINCT id_pedido), round(sum(valor_pedido), 2) FROM pf""")
+def checked_tables(spark, d):
+    """What the checked tables hold, usable and rejected rows apart, read back from the files."""
+    rows = None
+    for dataset, path, _, usable in _write_all_checked(spark, d):
+        order, value = ("id_pedido", "valor_total" if dataset == "compras" else "valor_pedido")
+        read = spark.read.parquet(path) if dataset == "compras" else usable.withColumn(SITUATION, F.lit(ACCEPTED))
+        known = dataset != "clientes"
+        count = read.groupBy(SITUATION).agg(
+            F.count(F.lit(1)).alias("linhas"),
+            (F.count_distinct(order) if known else F.max(F.lit(None).cast("long"))).alias("pedidos"),
+            (F.round(F.sum(value), 2) if known else F.max(F.lit(None).cast("double"))).alias("valor"),
+        )
+        part = count.select(F.lit(dataset).alias("dataset"), SITUATION, "linhas", "pedidos", "valor")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+_MISSING_CTE = QUALITY_CTE.replace("issues AS (", "issues AS (" + " UNION ALL ".join([
+    """SELECT 'compras' dataset, 'required_columns' rule, 'error' severity,
+  'Missing required columns: [''data_compra'', ''valor_total'']' details""",
+    "SELECT 'clientes', 'required_columns', 'error', 'Missing required columns: [''nome_cliente'']'",
+]) + " UNION ALL ").replace(" UNION ALL " + _null_sql("compras", "pp", "valor_total", 0.01), "").replace(
+    " UNION ALL " + _bad_date_sql("compras", "pp", "data_compra"), "").replace(
+    " UNION ALL " + _null_sql("clientes", "pc", "nome_cliente", 0.20), "")
+
+
+@query("quality_report_missing", f"WITH {_MISSING_CTE} SELECT * FROM issues")
+def quality_report_missing(spark, d):
+    """Tables that came without required columns: errors for those, and the checks of the columns that are there."""
+    return quality_report(
+        parse_purchases(raw_purchases(spark, d)).drop("data_compra", "valor_total"),
+        clean_customers(raw_customers(spark, d)).drop("nome_cliente"),
+        clean_factory_orders(raw_factory_orders(spark, d)),
+    )
+
+
 # --- sheets -----------------------------------------------------------------------------
 
 
@@ -325,33 +399,56 @@ def header_detect(spark, d):
     return header_line(purchase_sheet(spark, d))
 
 
-def _csv_parts(spark, d) -> str:
-    """The raw purchases as three CSV files with a banner, a blank line and a header each.
+#: Raw rows a CSV part is made of at least, besides three parts in any case.
+ROWS_A_PART = 20_000
 
-    Each file also has a body row that reads like its banner, and a late row with a cell too many.
+
+def csv_parts(spark, d) -> str:
+    """The raw purchases as CSV files with a banner, a blank line and a header each, more files for more rows.
+
+    Of three files one has its columns in reverse and one a second banner line. Each also has a body row that reads like its
+    banner, and a late row with a cell too many; every seventh order has a quoted line break.
     """
     raw = raw_purchases(spark, d)
+    parts = 3 + raw.count() // ROWS_A_PART
+    broken = F.when(F.trim("OP").cast("long") % 7 == 0, F.concat("Origem", F.lit('\n("nota")'))).otherwise(F.col("Origem"))
+    raw = raw.withColumn("Origem", broken)
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(raw.columns)]
-    part = F.pmod(F.xxhash64(F.trim("OP")), F.lit(3)).cast("int").alias("part")
-    rows = raw.select(part, F.lit(5).alias("place"), F.to_csv(F.struct(*text)).alias("value"))
+    part = F.pmod(F.xxhash64(F.trim("OP")), F.lit(parts)).cast("int").alias("part")
+    line = F.when(part % 3 == 1, F.to_csv(F.struct(*reversed(text)))).otherwise(F.to_csv(F.struct(*text)))
+    rows = raw.select(part, F.lit(5).alias("place"), line.alias("value"))
     banner = "Relatorio de vendas,,,,,,"
-    fixed = [(0, banner), (1, ""), (2, ",".join(raw.columns)), (4, banner), (9, "extra,,1,,,,,late cell")]
-    top = spark.createDataFrame([(n, place, v) for n in range(3) for place, v in fixed], "part int, place int, value string")
+    head = ",".join(raw.columns)
+    every = spark.range(parts).select(F.col("id").cast("int").alias("part"))
+    fixed = [
+        (0, F.lit(banner)),
+        (1, F.lit("")),
+        (2, F.when(F.col("part") % 3 == 2, F.lit("Filial 1,2024,,,,,"))),
+        (3, F.when(F.col("part") % 3 == 1, F.lit(",".join(reversed(raw.columns)))).otherwise(F.lit(head))),
+        (4, F.lit(banner)),
+        (9, F.lit("extra,,1,,,,,late cell")),
+    ]
+    for place, value in fixed:
+        rows = rows.unionByName(every.select("part", F.lit(place).alias("place"), value.alias("value")).where("value IS NOT NULL"))
     path = scratch_path(spark)
-    lines = rows.unionByName(top)
-    ordered = lines.repartition(3, "part").sortWithinPartitions("part", "place")
+    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", "place")
     ordered.select("part", "value").write.partitionBy("part").text(path)
     return path + "/part=*"
 
 
+_PARTS_SQL = f"range((SELECT 3 + (SELECT count(*) FROM rp0) // {ROWS_A_PART})) g(part)"
+
+
 @query("sheet_ingest_files", f"""WITH {RAW_PURCHASES}
-SELECT trim(' ' || o_orderkey) op, o_orderpriority origem, nullif(trim(cust), '') cliente, nullif(trim(v), '') valor, dt AS data,
-CAST(NULL AS VARCHAR) larga FROM rp0
-UNION ALL SELECT 'Relatorio de vendas', NULL, NULL, NULL, NULL, NULL FROM range(3)
-UNION ALL SELECT 'extra', NULL, '1', NULL, NULL, 'extra,,1,,,,,late cell' FROM range(3)""")
+SELECT trim(' ' || o_orderkey) op, o_orderpriority || CASE WHEN o_orderkey % 7 = 0 THEN chr(10) || '("nota")' ELSE '' END origem,
+nullif(trim(cust), '') cliente, nullif(trim(v), '') valor, dt AS data, CAST(NULL AS VARCHAR) larga FROM rp0
+UNION ALL SELECT CASE WHEN part % 3 <> 1 THEN 'Relatorio de vendas' END, NULL, NULL, NULL,
+  CASE WHEN part % 3 = 1 THEN 'Relatorio de vendas' END, NULL FROM {_PARTS_SQL}
+UNION ALL SELECT CASE WHEN part % 3 <> 1 THEN 'extra' END, NULL, CASE WHEN part % 3 <> 1 THEN '1' END,
+  CASE WHEN part % 3 = 1 THEN '1' END, CASE WHEN part % 3 = 1 THEN 'extra' END, 'extra,,1,,,,,late cell' FROM {_PARTS_SQL}""")
 def sheet_ingest_files(spark, d):
-    """The purchase sheet written as CSV parts and read back whole."""
-    sheet = ingest_sheets(spark, _csv_parts(spark, d), wide="larga")
+    """The purchase sheet written as CSV files of different layouts and read back whole, each by its own header."""
+    sheet = ingest_sheets(spark, csv_parts(spark, d), line=None, wide="larga")
     blank = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
     return sheet.select(
         blank("OP").alias("op"),
@@ -493,7 +590,7 @@ grown AS (SELECT endereco_norm, lat, lon FROM cache
           UNION ALL SELECT endereco_norm, lat, lon FROM ms JOIN gaz USING (endereco_norm))"""
 
 
-def _addresses(spark, d) -> DataFrame:
+def addresses(spark, d) -> DataFrame:
     key, name = F.col("c_custkey"), F.col("n_name")
     text = (
         F.when(key % 10 == 0, F.lit(None))
@@ -515,18 +612,29 @@ def _places(spark, d) -> DataFrame:
     )
 
 
-def _cache(spark, d) -> DataFrame:
+def place_cache(spark, d) -> DataFrame:
     return _places(spark, d).filter(F.col("r_name").isin("AFRICA", "AMERICA", "ASIA")).drop("r_name")
 
 
+def places_provider(spark, d):
+    return gazetteer_provider(_places(spark, d).filter(F.col("r_name") != "MIDDLE EAST"))
+
+
 def _grown_cache(spark, d) -> DataFrame:
-    gazetteer = _places(spark, d).filter(F.col("r_name") != "MIDDLE EAST")
-    return updated_cache(_addresses(spark, d), _cache(spark, d), gazetteer_provider(gazetteer))
+    return updated_cache(addresses(spark, d), place_cache(spark, d), places_provider(spark, d))
+
+
+@query("repaired_cache", """SELECT lower(n_name) endereco_norm, upper(n_name) || ' ' endereco, n_nationkey * 1.5::DOUBLE lat FROM nation""")
+def repaired_cache_query(spark, d):
+    """An old cache that holds addresses but no keys."""
+    name = F.concat(F.upper("n_name"), F.lit(" ")).alias("endereco")
+    old = table(spark, d, "nation").select(name, (F.col("n_nationkey") * F.lit(1.5)).alias("lat"))
+    return repaired_cache(old, "endereco")
 
 
 @query("address_misses", f"WITH {ADDRESS_CTE} SELECT * FROM ms")
 def address_misses_query(spark, d):
-    return address_misses(_addresses(spark, d), _cache(spark, d), city=CITY)
+    return address_misses(addresses(spark, d), place_cache(spark, d), city=CITY)
 
 
 @query("address_cache", f"WITH {ADDRESS_CTE} SELECT * FROM grown")
@@ -537,4 +645,4 @@ def address_cache(spark, d):
 @query("address_enriched", f"""WITH {ADDRESS_CTE}
 SELECT c_custkey, endereco, lat, lon FROM ak LEFT JOIN grown USING (endereco_norm)""")
 def address_enriched(spark, d):
-    return enrich_addresses(_addresses(spark, d), _grown_cache(spark, d))
+    return enrich_addresses(addresses(spark, d), _grown_cache(spark, d))

@@ -27,8 +27,9 @@ ACTION_PREMIUM = "Oferta premium"
 ACTION_WIN_BACK = "Reativacao imediata"
 PREMIUM_MAX_RECENCY = 14
 CAMPAIGN_SIZE = 100
-# Lists up to this size are gathered in one task and broadcast; longer ones never are.
-SMALL_LIST = 10_000
+# Training rows are dealt into this many parts at least, and into more from so many rows a part.
+TRAINING_PARTS = 32
+ROWS_PER_PART = 50_000
 
 
 def fit_propensity(
@@ -38,16 +39,16 @@ def fit_propensity(
     trees: int = 300,
     depth: int = 8,
     seed: int = 42,
-    partitions: int = 32,
 ) -> PipelineModel:
     """M2: random forest on class-balanced weights ``n / (2 * n_class)``.
 
-    The weights come from two scalar counts, so the training rows are never shuffled for
-    them. Rows are dealt by content into ``partitions``, which keeps all slots busy and makes the trees' samples
-    the same on any cluster.
+    The used columns are written once, so that the counts behind the weights and the passes of the fit read
+    them and not the whole plan. Rows are dealt by content into parts whose number follows from the rows alone, which
+    keeps a part bounded, all slots busy and the trees' samples the same on any cluster.
     """
     used = present(train, features)
-    total, positive = train.agg(
+    rows = write_once(train.select(*used, label))
+    total, positive = rows.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")).alias("c")
     ).first()["c"]
     if not positive or positive == total:
@@ -63,7 +64,8 @@ def fit_propensity(
         featureSubsetStrategy="sqrt",
     )
     stages = [VectorAssembler(inputCols=used, outputCol="_features"), forest]
-    dealt = train.select(*used, label).repartition(partitions, *used, label)
+    parts = max(TRAINING_PARTS, -(-total // ROWS_PER_PART))
+    dealt = rows.repartition(parts, *used, label)
     return Pipeline(stages=stages).fit(dealt.withColumn("_weight", weight))
 
 
@@ -107,19 +109,15 @@ def campaign_list(
 ) -> DataFrame:
     """M7: the ranked, named and segmented top of the list.
 
-    Scores are ranked before names are looked up. The list of at most ``size`` rows is
-    written once, its keys (bounded by ``size``) filter the customer scan, and only the
-    matching names are deduplicated and joined, so the customer table is not shuffled. A
-    list beyond ``SMALL_LIST`` is cut from the full ranking instead, without a broadcast.
+    Scores are ranked before names are looked up. The list is written once, its keys filter the customer
+    scan, and only the matching names are deduplicated and joined; whether a side is broadcast is left to Spark, which
+    knows the written list's size.
     """
-    if size > SMALL_LIST:
-        whole = scored_list(scored, customers, key, score, cols, features)
-        return whole.filter(F.col("rank") <= size)
     top = write_once(top_k(scored, score, key, size))
-    wanted = F.broadcast(top.select(F.col(key).alias(cols.customer)))
+    wanted = top.select(F.col(key).alias(cols.customer))
     found = customers.select(cols.customer, cols.name).join(wanted, cols.customer, "left_semi")
     names = first_by_key(found, [cols.customer]).withColumnRenamed(cols.customer, key)
-    return _list_columns(top.join(F.broadcast(names), key, "left"), key, cols.name, score, features)
+    return _list_columns(top.join(names, key, "left"), key, cols.name, score, features)
 
 
 def scored_list(

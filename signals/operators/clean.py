@@ -54,17 +54,23 @@ def parse_purchases(raw: DataFrame) -> DataFrame:
     return _apply(df, changes)
 
 
+def is_usable(ids: tuple[str, ...], required: tuple[str, ...] = ()) -> Column:
+    """P6, P7 as a condition: ids that are there and not blank, and required values that are there."""
+    keep = F.lit(True)
+    for name in ids:
+        keep = keep & ~is_blank(F.col(name))
+    for name in required:
+        keep = keep & F.col(name).isNotNull()
+    return keep
+
+
 def drop_unusable(df: DataFrame, ids: tuple[str, ...], required: tuple[str, ...] = ()) -> DataFrame:
     """Drop rows with a missing or blank id, or a missing required value.
 
     The rows pass through a generator, below which the optimiser pushes no filter: a plain filter on parsed
     columns would be pushed under their projection and parse every value a second time.
     """
-    keep = F.lit(True)
-    for name in ids:
-        keep = keep & ~is_blank(F.col(name))
-    for name in required:
-        keep = keep & F.col(name).isNotNull()
+    keep = is_usable(ids, required)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return df.select(F.inline(F.when(keep, F.array(row))))
 

@@ -51,8 +51,14 @@ def rule_for(name: str) -> str | None:
 
 
 def digest(salt: str, *parts: Column) -> Column:
-    """Hex digest all fakes of one cell are cut from; a null part differs from a blank and from no part."""
+    """Hex digest all fakes of one cell are cut from; a null part differs from a blank and from no part.
+
+    The last of two parts needs no length, as the first is a fixed name; of more, each behind the name carries its own, so
+    that ("a|b", "c") and ("a", "b|c") differ.
+    """
     marked = [F.coalesce(p.cast("string"), F.lit("\0")) for p in parts]
+    if len(marked) > 2:
+        marked = [marked[0], *[F.concat(F.length(m).cast("string"), F.lit(":"), m) for m in marked[1:]]]
     return F.sha2(F.concat_ws("|", F.lit(salt), *marked), 256)
 
 
@@ -165,8 +171,11 @@ def mask_rows(df: DataFrame, salt: str, row_key: Sequence[str] = (), hide_unknow
     """K1-K6 for a table that may have no key: without one, rows are told apart by one digest of all their cells."""
     if row_key:
         return mask_table(df, salt, row_key, hide_unknown_text=hide_unknown_text)
-    keyed = df.withColumn("_key", digest(salt, *[F.col(f"`{c}`") for c in df.columns]))
-    return mask_table(keyed, salt, ["_key"], {"_key": None}, hide_unknown_text=hide_unknown_text).drop("_key")
+    key = "_key"
+    while key in df.columns:
+        key += "_"
+    keyed = df.withColumn(key, digest(salt, F.lit(""), *[F.col(f"`{c}`") for c in df.columns]))
+    return mask_table(keyed, salt, [key], {key: None}, hide_unknown_text=hide_unknown_text).drop(key)
 
 
 def masked_row(line: Column, header_line: Column, cells: Column, hints: Sequence[str]) -> Column:

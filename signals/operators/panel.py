@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signals.columns import PROPENSITY_FEATURES, SNAPSHOT, TARGET, PurchaseCols
 from signals.functions.calendar import first_weekday_from, next_midnight, week_numbers
-from signals.functions.numeric import ratio, ratio_or_zero
+from signals.functions.numeric import ratio, ratio_or_zero, sum_or_zero
 
 
 def _feature_columns(anchor: Column) -> dict[str, Column]:
@@ -64,6 +64,9 @@ def propensity_panel(
     weekday: str = "MON",
     one_row_per_order: bool = False,
     drop_censored: bool = False,
+    future_value: str | None = None,
+    between: tuple[date, date] | None = None,
+    last_day: date | None = None,
 ) -> DataFrame:
     """A3: one row per (customer, weekly snapshot) with features and the repurchase label.
 
@@ -78,10 +81,20 @@ def propensity_panel(
     and never shuffled themselves.
 
     ``one_row_per_order`` skips the repeated-order step for tables keyed by order.
-    ``drop_censored`` leaves out snapshots whose label window ends after the data.
+    ``drop_censored`` leaves out snapshots whose label window ends after the data. ``future_value`` names a further
+    column with the spend inside the label window. ``between`` limits the snapshots to a range of days, and only purchases
+    that these can see are read; ``last_day`` is the data's last day where the caller knows it.
     """
-    span = purchases.select(F.to_date(cols.time).alias("d")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    first, last = span.select("lo").scalar(), span.select("hi").scalar()
+    if last_day is not None:
+        last = F.lit(last_day)
+    else:
+        last = purchases.select(F.to_date(cols.time).alias("d")).agg(F.max("d").alias("hi")).scalar()
+    data_end, first = last, F.lit(None).cast("date")
+    if between is not None:
+        first, last = F.lit(between[0]), F.least(F.lit(between[1]), last)
+        seen_by = (F.date_sub(F.lit(between[0]), lookback_days + 1), F.date_add(F.lit(between[1]), horizon_days + 2))
+        kind = dict(purchases.dtypes)[cols.time]
+        purchases = purchases.where(F.col(cols.time).between(*[x.cast(kind) for x in seen_by]))
     days = _purchase_days(purchases, cols, lookback_days, one_row_per_order)
     seen, snap = F.col("_seen"), F.col(SNAPSHOT)
     # A fixed count: run-time merging goes by the size before the rows multiply.
@@ -99,12 +112,14 @@ def propensity_panel(
             F.sum(F.when(snap.between(seen, F.date_add("_day", short_lookback_days)), F.col("_sum"))).alias("_short"),
             F.max(F.when(snap >= seen, seen)).alias("_last"),
             F.max(F.when(snap < seen, 1).otherwise(0)).alias(TARGET),
+            *([sum_or_zero(F.when(snap < seen, F.col("_sum"))).alias(future_value)] if future_value else []),
         )
         .filter(F.col("_orders") > 0)
     )
     if drop_censored:
-        snapshots = snapshots.filter(F.date_add(snap, horizon_days) <= last)
-    return snapshots.withColumns(_feature_columns(snap)).select(cols.customer, SNAPSHOT, *PROPENSITY_FEATURES, TARGET)
+        snapshots = snapshots.filter(F.date_add(snap, horizon_days) <= data_end)
+    named = [cols.customer, SNAPSHOT, *PROPENSITY_FEATURES, TARGET, *([future_value] if future_value else [])]
+    return snapshots.withColumns(_feature_columns(snap)).select(*named)
 
 
 def scoring_base(

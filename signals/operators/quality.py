@@ -1,7 +1,7 @@
 """Data-quality rules, report and gate.
 
-All rules of one table are computed in a single aggregate pass. The only shuffle is the
-one behind the distinct key count, and Spark combines copies of a key before it.
+All rules of one table are computed in a single aggregate pass, or observed in the pass that writes it. The only
+shuffle is the one behind the distinct key count, and Spark combines copies of a key before it.
 """
 
 from __future__ import annotations
@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signals.functions.text import parse_day_first
+from signals.sources.tables import path_exists
 
+# Folders of usable and rejected rows under a checked table.
+SITUATION, ACCEPTED, REJECTED = "situacao", "aceita", "rejeitada"
 ISSUE_SCHEMA = "dataset string, rule string, severity string, details string"
 
 
@@ -79,21 +82,21 @@ def _three(c: Column) -> Column:
     return F.format_string("%.3f", F.bround(c, 3))
 
 
-def check_table(df: DataFrame, rules: TableRules) -> DataFrame:
-    """Q1-Q4: the issues of one table, one row each.
+def _plan(df: DataFrame, rules: TableRules) -> tuple[dict[str, Column], list[str], list[Column]]:
+    """What one pass over a table measures, the keys whose copies are counted besides, and the issues these facts make.
 
     The texts of the details are fixed values, as readers of the report compare them.
     """
     name = rules.dataset
     missing = [c for c in rules.required if c not in df.columns]
     keys = [c for c in rules.keys if c in df.columns]
+    keys = keys if len(keys) == len(rules.keys) else []
     measured: dict[str, Column] = {}
     issues: list[Column] = []
     if missing:
         details = F.lit(f"Missing required columns: {missing}")
         issues.append(_issue(name, "required_columns", "error", details, F.lit(True)))
-    if rules.keys and len(keys) == len(rules.keys):
-        measured["duplicates"] = duplicate_count(keys)
+    if keys:
         n = F.col("duplicates")
         text = F.concat(n.cast("string"), F.lit(f" duplicated rows on keys {keys}"))
         issues.append(_issue(name, "duplicates", "warning", text, n > 0))
@@ -108,14 +111,61 @@ def check_table(df: DataFrame, rules: TableRules) -> DataFrame:
         n = F.col("invalid_dates")
         text = F.concat(n.cast("string"), F.lit(f" invalid/NaT values in {rules.date}"))
         issues.append(_issue(name, "invalid_dates", "warning", text, n > 0))
+    return measured, keys, issues
+
+
+def _raised(facts: DataFrame, issues: list[Column]) -> DataFrame:
+    """The issues of one row of facts that are to be raised."""
     if not issues:
-        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    if measured:
-        facts = df.agg(*[c.alias(k) for k, c in measured.items()])
+        return facts.sparkSession.createDataFrame([], ISSUE_SCHEMA)
+    return facts.select(F.explode(F.array_compact(F.array(*issues))).alias("issue")).select("issue.*")
+
+
+def check_table(df: DataFrame, rules: TableRules) -> DataFrame:
+    """Q1-Q4: the issues of one table, one row each."""
+    measured, keys, issues = _plan(df, rules)
+    if keys:
+        measured["duplicates"] = duplicate_count(keys)
+    facts = df.agg(*[c.alias(k) for k, c in measured.items()]) if measured else df.sparkSession.range(1)
+    return _raised(facts, issues)
+
+
+def write_checked(
+    df: DataFrame, rules: TableRules, path: str, usable: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Write a table and check it in the same pass: the issues of all its rows, and a reader of the usable ones.
+
+    Null ratios and unreadable dates are observed while the rows go by on their way to the files, so the table is computed
+    once. Copies of a key need a distinct count, which cannot be observed; it reads the key columns of what was written. With
+    ``usable`` the rows go to two folders under ``path`` by whether it holds, so that rejects are kept, counted and
+    apart. The issues equal those of ``check_table``.
+    """
+    spark = df.sparkSession
+    measured, keys, issues = _plan(df, rules)
+    if SITUATION in df.columns:
+        raise ValueError(f"the table has a column {SITUATION}")
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in measured.items()])
+    here, all_rows = path, lambda: spark.read.schema(df.schema).parquet(path)
+    if usable is None:
+        watched.write.mode("overwrite").parquet(path)
     else:
-        facts = df.sparkSession.range(1)
-    found = facts.select(F.explode(F.array_compact(F.array(*issues))).alias("issue"))
-    return found.select("issue.*")
+        situation = F.when(F.coalesce(usable, F.lit(False)), ACCEPTED).otherwise(REJECTED)
+        watched.withColumn(SITUATION, situation).write.mode("overwrite").partitionBy(SITUATION).parquet(path)
+        here = f"{path}/{SITUATION}={ACCEPTED}"
+        if not path_exists(spark, here):
+            df.limit(0).write.parquet(here)
+    found = {k: float(v) if k.startswith("null_") else int(v) for k, v in seen.get.items()}
+    if keys:
+        found["duplicates"] = all_rows().agg(duplicate_count(keys).alias("n")).first()["n"]
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'bigint'}" for k, v in found.items())
+    facts = spark.createDataFrame([tuple(found.values())], schema)
+    return _raised(facts, issues), spark.read.schema(df.schema).parquet(here)
+
+
+def missing_columns(df: DataFrame, rules: TableRules) -> list[str]:
+    """The required columns a table lacks; known before any job."""
+    return [c for c in rules.required if c not in df.columns]
 
 
 def check_required(df: DataFrame, dataset: str, required: Sequence[str]) -> DataFrame:

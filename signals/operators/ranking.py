@@ -57,10 +57,10 @@ def full_ranking(df: DataFrame, score: str, key: str, name: str = "rank") -> Dat
 
 
 def top_k(df: DataFrame, score: str, key: str, k: int, name: str = "rank") -> DataFrame:
-    """O2: the k best rows with their rank; every task keeps only its own k best."""
-    best = df.orderBy(F.col(score).desc(), F.col(key).asc()).limit(k)
-    w = Window.orderBy(F.col(score).desc(), F.col(key).asc())
-    return best.withColumn(name, F.row_number().over(w)).select(name, *df.columns)
+    """O2: the k best rows with their rank: the score floor drops all rows that cannot be among them, the rest is ranked."""
+    whole = df.withColumn("_all", F.lit(1))
+    best = over_floor(whole, ["_all"], score, k).drop("_all")
+    return full_ranking(best, score, key, name).where(F.col(name) <= k)
 
 
 def long_scores(df: DataFrame, scores: dict[str, str], keep: Sequence[str]) -> DataFrame:
@@ -127,20 +127,68 @@ def group_ranking(df: DataFrame, by: Sequence[str], order: Sequence[Column], nam
         .withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1)
         .select(*by, "_block", "_shift")
     )
-    ranked = blocks.join(parts, [*by, "_block"]).withColumn(name, F.col("_position") + F.col("_shift"))
+    ranked = _match(blocks, parts, [*by, "_block"]).withColumn(name, F.col("_position") + F.col("_shift"))
     return ranked.select(*df.columns, name)
 
 
+def score_floors(
+    df: DataFrame, by: Sequence[str], score: str, k: int, bins: int = 256, rounds: int = 6, spare: int = 100_000
+) -> DataFrame:
+    """``by, floor`` for each group of more than k scores: at least k rows of the group have that score or more.
+
+    The interval that holds the k-th score starts as a group's whole range. Each round is one combining aggregate, a
+    histogram of the scores in the interval, and narrows it to the bin with the k-th score, by that bin's own
+    least and greatest score. Rounds end when the rows over all floors are at most twice those wanted and ``spare`` more, or
+    when every interval is a single score. More rounds make the floor tighter and change nothing else.
+    """
+    value = F.col(score).cast("double")
+    state = write_once(
+        df.where(F.col(score).isNotNull() & ~F.isnan(value))
+        .groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("held"), F.min(value).alias("low"), F.max(value).alias("high"))
+        .where(F.col("held") > k)
+        .withColumn("above", F.lit(0).cast("long"))
+    )
+    for _ in range(rounds):
+        held, groups, open_ = state.agg(F.coalesce(F.sum("held"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("low") < F.col("high"))).first()
+        if not open_ or held <= 2 * k * groups + spare:
+            break
+        width = F.col("high") - F.col("low")
+        place = F.least(F.lit(bins - 1), F.floor(F.try_divide((value - F.col("low")) * bins, width)))
+        inside = _match(df.select(*by, score), state, by).where(value.between(F.col("low"), F.col("high")))
+        counts = inside.groupBy(*by, F.coalesce(place, F.lit(0)).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.first("above").alias("above")
+        )
+        down = Window.partitionBy(*by).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+        running = counts.withColumn("held", F.col("above") + F.sum("n").over(down))
+        found = F.struct("low", "high", "held", (F.col("held") - F.col("n")).alias("above"))
+        state = write_once(
+            running.groupBy(*by).agg(F.max_by(found, F.when(F.col("held") >= k, F.col("bin"))).alias("f")).select(*by, "f.*")
+        )
+    return state.select(*by, F.col("low").alias("floor"))
+
+
+def over_floor(df: DataFrame, by: Sequence[str], score: str, k: int) -> DataFrame:
+    """The rows that can be among the k best of their group: all of a small group, else those on or over its score floor."""
+    floors = score_floors(df, by, score, k)
+    near = _match(df, floors, by, "left").where(F.col("floor").isNull() | (F.col(score).cast("double") >= F.col("floor")))
+    return near.select(*df.columns)
+
+
+def _match(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the group columns where null equals null; the group's other columns are added."""
+    other = groups.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return df.join(other, same, how).drop(*[f"_of_{c}" for c in by])
+
+
 def top_rows(df: DataFrame, by: Sequence[str], score: str, key: Sequence[str], k: int) -> DataFrame:
     """O3: the k best rows of every group, numbered ``_rn``.
 
-    Spark limits each group inside every map task before the shuffle, so a hot group sends
-    at most k rows per task. It does so up to a session limit on k; beyond it the groups
-    are ranked in blocks.
+    A floor found by refining score histograms leaves about k rows a group and those that share the k-th score; these are
+    ranked in blocks. So neither a group of all rows nor a score that a third of them share meets in one task.
     """
     order = [F.col(score).desc(), *[F.col(c).asc() for c in key]]
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k >= limit:
-        return group_ranking(df, by, order).filter(F.col("_rn") <= k)
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+    return group_ranking(over_floor(df, by, score, k), by, order).filter(F.col("_rn") <= k)

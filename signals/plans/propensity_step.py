@@ -54,7 +54,6 @@ def train(ws: Workspace) -> None:
         trees=s.propensity_trees,
         depth=s.propensity_depth,
         seed=s.seed,
-        partitions=s.training_partitions,
     )
     save_model(model, ws.path("propensity_model"))
 

@@ -7,9 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from signals.columns import PurchaseCols
+from signals.operators.quality import ACCEPTED, REJECTED, SITUATION
 from signals.sources.tables import path_exists, read_table, write_report, write_table
 
 
+# Tables that are folders of another one: usable and rejected purchases are written in one pass.
+PLACES = {
+    "compras_clientes_clean": f"compras_clientes/{SITUATION}={ACCEPTED}",
+    "compras_clientes_rejected": f"compras_clientes/{SITUATION}={REJECTED}",
+}
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Model and window sizes of a run; the defaults are the production values."""
@@ -25,6 +33,8 @@ class Sizes:
     boost_rounds: int = 600
     boost_depth: int = 6
     forecast_days: int = 30
+    interval_alpha: float = 0.1
+    interval_step: int = 7
     fold_days: int = 30
     first_train_ratio: float = 0.6
     recent_days: int = 30
@@ -32,7 +42,6 @@ class Sizes:
     leak_free: bool = False
     seed: int = 42
     parallel_fits: int = 4
-    training_partitions: int = 32
     one_row_per_order: bool = False
 
 
@@ -42,9 +51,11 @@ class Workspace:
     root: str
     cols: PurchaseCols = PurchaseCols()
     sizes: Sizes = Sizes()
+    #: Customer columns that split the revenue into series; none makes one series.
+    series: tuple[str, ...] = ()
 
     def path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
+        return f"{self.root.rstrip('/')}/{PLACES.get(name, name)}"
 
     def has(self, name: str) -> bool:
         return path_exists(self.spark, self.path(name))

@@ -3,8 +3,8 @@
 A result several branches read is written once as parquet under the folder the
 session names in ``spark.checkpoint.dir`` and read back: later readers get column
 pruning and pushed filters, and a lost executor costs a re-read, not a recompute.
-A session that names no folder gets one under its warehouse, which every executor
-reaches as well; no machine-local folder is ever used.
+A session that names no folder gets one under its warehouse; on a cluster that must not be a
+plain file path, so no machine-local folder is ever used there.
 """
 
 from __future__ import annotations
@@ -42,11 +42,19 @@ def scratch_run() -> Iterator[ScratchRun]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
+    """The shared scratch folder of this session.
+
+    On a cluster a warehouse on a plain file system is the driver's own folder unless someone shares it, so it is refused
+    there: such a session must name a shared folder in ``spark.checkpoint.dir``.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/") + "/signals"
-    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own_folder = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if own_folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} may be local")
+    root = warehouse + "/_scratch"
     if root not in _own_roots:
         _own_roots.add(root)
         atexit.register(_drop_all, spark)

@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from signals.operators.clean import clean_customers, clean_factory_orders, clean_purchases, parse_purchases
+from signals.operators.clean import clean_customers, clean_factory_orders, clean_purchases, is_usable, parse_purchases
 from signals.operators.quality import (
     ISSUE_SCHEMA,
     PURCHASE_RULES,
@@ -16,7 +16,9 @@ from signals.operators.quality import (
     check_table,
     enforce_gate,
     gate_status,
+    missing_columns,
     quality_report,
+    write_checked,
 )
 from signals.operators.tables import first_by_key, require_columns, require_rows
 
@@ -127,3 +129,31 @@ def test_guards(spark):
 def test_first_by_key_prefers_a_value_to_null(spark, rows):
     df = spark.createDataFrame([(1, None), (1, "Ana"), (2, None)], "k int, name string")
     assert rows(first_by_key(df, ["k"])) == [(1, "Ana"), (2, None)]
+
+
+@pytest.mark.parametrize("with_rejects", [True, False])
+def test_checked_write_equals_the_check(spark, tmp_path, rows, with_rejects):
+    data = [("1", "a", "2024-01-01"), ("1", None, "x"), (None, "b", None), ("", "c", "2024-01-02"), ("2", "d", "2024-02-30"), ("2", "e", "2024-01-05")]
+    df = spark.createDataFrame(data, "id string, name string, d string").repartition(3)
+    rules = TableRules("t", ("id", "name"), ("id",), {"name": 0.1, "d": 0.9, "none": 0.1}, "d")
+    usable = is_usable(("id",), ("name",)) if with_rejects else None
+    path = str(tmp_path / "t")
+    issues, kept = write_checked(df, rules, path, usable)
+    assert rows(issues) == rows(check_table(df, rules)) and issues.count() == 3
+    whole = spark.read.parquet(path)
+    assert whole.count() == 6 and kept.columns == df.columns
+    assert kept.count() == (3 if with_rejects else 6)
+    if with_rejects:
+        assert whole.where("situacao = 'rejeitada'").count() == 3
+
+
+def test_checked_write_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(None, "x")], "id string, name string")
+    rules = TableRules("t", ("id", "other"), ("id",), {"name": 0.1})
+    issues, kept = write_checked(df, rules, str(tmp_path / "a"), is_usable(("id",)))
+    assert [r["rule"] for r in issues.collect()] == ["required_columns"] and kept.count() == 0
+    empty, none = write_checked(df.limit(0), TableRules("t", keys=("id",)), str(tmp_path / "b"))
+    assert empty.count() == 0 and none.count() == 0
+    assert missing_columns(df, rules) == ["other"]
+    with pytest.raises(ValueError):
+        write_checked(df.withColumn("situacao", df["id"]), rules, str(tmp_path / "c"))

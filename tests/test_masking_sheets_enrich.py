@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -20,6 +21,7 @@ from signals.sources.sheets import (
     header_line,
     ingest_sheets,
     mask_files,
+    mask_sheet_files,
     mask_sheet,
     numbered_body,
     read_top_lines,
@@ -149,6 +151,74 @@ def test_ingest_keeps_rows_like_the_banner_and_tells_wide_ones(spark, tmp_path,
         ingest_sheets(spark, str(tmp_path)).collect()
 
 
+def test_files_of_other_layouts(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text("Relatorio,\nCodigo,Nome\n1,Ana\n")
+    (tmp_path / "b.csv").write_text("Nome,Codigo,\nBia,2,\n")
+    (tmp_path / "c.csv").write_text("x,\n,\ny,\nCodigo, Nome \n3,Caio\n4\n")
+    (tmp_path / "d.csv").write_text("")
+    df = ingest_sheets(spark, str(tmp_path), line=None)
+    assert df.columns == ["Codigo", "Nome"] and rows(df) == [("1", "Ana"), ("2", "Bia"), ("3", "Caio"), ("4", None)]
+    (tmp_path / "e.csv").write_text("Codigo,Valor\n5,10\n")
+    with pytest.raises(ValueError, match="e.csv"):
+        ingest_sheets(spark, str(tmp_path), line=None)
+    assert ("5", None) in rows(ingest_sheets(spark, str(tmp_path), line=None, lenient=True))
+    (tmp_path / "wide").mkdir()
+    (tmp_path / "wide" / "a.csv").write_text("Codigo,Nome\n1,Ana,more,cells\n")
+    assert [r["w"] for r in ingest_sheets(spark, str(tmp_path / "wide"), line=0, wide="w").collect()] == ["1,Ana,more,cells"]
+    (tmp_path / "twice").mkdir()
+    (tmp_path / "twice" / "a.csv").write_text("Codigo,Codigo\n1,2\n")
+    with pytest.raises(ValueError, match="twice"):
+        ingest_sheets(spark, str(tmp_path / "twice"), line=0)
+
+
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path, rows):
+    draw = random.Random(3)
+    made = []
+    for i in range(400):
+        note = draw.choice(["plain", 'say ""hi""', "two\nlines", "a,\n\n,b", "\n" * 90 + "end", "cr\r\nlf", ""])
+        made.append((str(i), note))
+    text = 'Relatorio,"of\ntwo lines"\nCodigo,Nome\n' + "".join(f'{i},"{n}"\r\n' for i, n in made)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = ingest_sheets(spark, str(tmp_path), line=1)
+        got = sorted((r["Codigo"], r["Nome"] or "") for r in df.collect())
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    want = sorted((i, n.replace('""', '"')) for i, n in made for _ in range(2))
+    assert [(i, n.replace("\r\n", "\n")) for i, n in got] == [(i, n.replace("\r\n", "\n")) for i, n in want]
+    (tmp_path / "c.csv").write_text('Codigo,Nome\n1,"open\n')
+    with pytest.raises(ValueError, match="c.csv"):
+        ingest_sheets(spark, str(tmp_path), line=0)
+
+
+def test_masked_copies_of_sheets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('Relatorio de vendas\nJoao Silva,900,x\n\nCod. Cliente,Nome,Obs\n17,"Ana\nMaria",ok\n18,Bia\n19,Caio,so,wide\n')
+    (tmp_path / "in" / "b.csv").write_text("Nome,Cod. Cliente,Obs\nAna,17,ok\n")
+    assert mask_sheet_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), "s") == 2
+    read = lambda f: [r.value for r in spark.read.text(str(tmp_path / "out" / f"arquivo={f}"), wholetext=True).collect()][0]
+    a, b = read("a.csv"), read("b.csv")
+    lines = a.split("\n")
+    assert lines[3] == "Cod. Cliente,Nome,Obs" and "Joao" not in a and "Ana" not in a and "Bia" not in a and "Caio" not in a
+    assert lines[4].startswith("ID") and lines[4].endswith(",ok") and "wide" not in a
+    assert b.split("\n")[0] == "Nome,Cod. Cliente,Obs" and "Ana" not in b
+    assert b.split("\n")[1].split(",")[1] == lines[4].split(",")[0]  # the same customer keeps one pseudonym
+
+
+def test_row_digests_tell_parts_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c")], "x string, y string").withColumn("Nome", F.lit("n")).withColumn("Email", F.lit("e"))
+    assert len({r["Email"] for r in mask_table(df, "s", ["x", "y"]).collect()}) == 2
+    keyed = df.withColumn("_key", F.lit("mine"))
+    out = mask_rows(keyed, "s")
+    assert out.columns == keyed.columns and {r["_key"] for r in out.collect()} == {"mine"}
+
+
 def test_masking_fails_closed(spark):
     df = people(spark)
     with pytest.raises(ValueError):

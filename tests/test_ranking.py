@@ -13,7 +13,6 @@ from signals.operators.evaluation import (
     uplift_summary,
     uplift_vs_baseline,
 )
-from signals.operators import campaign
 from signals.operators.campaign import campaign_list, priority, scored_list, suggested_action
 from signals.operators.ranking import (
     full_ranking,
@@ -22,6 +21,8 @@ from signals.operators.ranking import (
     ordered_blocks,
     rank_areas,
     recency_score,
+    over_floor,
+    score_floors,
     top_k,
     top_rows,
 )
@@ -174,7 +175,32 @@ def test_group_ranking_and_large_k(spark, many_blocks):
         assert {r["id"]: r["_rn"] for r in top} == {i: n for i, n in expected.items() if n <= k}
 
 
-def test_campaign_list(spark, monkeypatch):
+@pytest.mark.parametrize("bins", [2, 16])
+def test_score_floors_narrow_to_the_kth_score(spark, bins):
+    rng = random.Random(4)
+    data = [("hot" if rng.random() < 0.6 else f"g{rng.randint(0, 3)}", i, rng.choice([rng.gauss(0, 1), 0.5, 1e6 * rng.random()])) for i in range(900)]
+    data += [(None, 2000 + i, float(i)) for i in range(30)] + [("g0", 3000, None), ("few", 3001, 1.0), ("same", 3002, 7.0)]
+    data += [("same", 4000 + i, 7.0) for i in range(50)]
+    df = spark.createDataFrame(data, "g string, id int, score double")
+    floors = {r["g"]: r["floor"] for r in score_floors(df, ["g"], "score", 10, bins=bins, rounds=60, spare=0).collect()}
+    assert "few" not in floors
+    for g, floor in floors.items():
+        scores = sorted((s for h, _, s in data if h == g and s is not None), reverse=True)
+        held = sum(s >= floor for s in scores)
+        assert held >= 10 and floor <= scores[9]
+    # At most twice the rows wanted are left over, but for scores that many rows share.
+    assert sum(s >= floors[g] for g, _, s in data if g in floors and g != "same" and s is not None) <= 2 * 10 * len(floors) + 330
+    left = {r["id"] for r in over_floor(df, ["g"], "score", 10).collect()}
+    assert {3000, 3001} <= left | {3000} and 3001 in left
+    top = top_rows(df, ["g"], "score", ["id"], 10).collect()
+    expected = {}
+    for g in {r[0] for r in data}:
+        ranked = sorted((s is None, -(s or 0), i) for h, i, s in data if h == g)
+        expected.update({i: n for n, (_, _, i) in enumerate(ranked[:10], 1)})
+    assert {r["id"]: r["_rn"] for r in top} == expected
+
+
+def test_campaign_list(spark):
     data = [(str(i), i / 10, 30 if i % 2 else 3, 1, 1.0, 1.0, 0.5) for i in range(11)]
     columns = (
         "id_cliente string, score_recompra_30d double, recency int, frequency_lookback int, monetary_lookback double,"
@@ -192,8 +218,7 @@ def test_campaign_list(spark, monkeypatch):
     assert out[7]["prioridade"] == "Baixa" and out[7]["acao_sugerida"] == "Contato padrao"
     whole = scored_list(df, people).orderBy("rank").collect()
     assert len(whole) == 11 and [tuple(r) for r in whole[:8]] == [tuple(r) for r in out]
-    monkeypatch.setattr(campaign, "SMALL_LIST", 5)
-    assert campaign_list(df, people, size=8).orderBy("rank").collect() == out
+    assert campaign_list(df, people, size=50).count() == 11
 
 
 def test_priority_outside_range_is_null(spark):

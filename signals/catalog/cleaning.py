@@ -415,7 +415,8 @@ def csv_parts(spark, d) -> str:
     raw = raw.withColumn("Origem", broken)
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(raw.columns)]
     part = F.pmod(F.xxhash64(F.trim("OP")), F.lit(parts)).cast("int").alias("part")
-    line = F.when(part % 3 == 1, F.to_csv(F.struct(*reversed(text)))).otherwise(F.to_csv(F.struct(*text)))
+    cells = lambda columns: F.to_csv(F.struct(*columns), {"escape": '"'})
+    line = F.when(part % 3 == 1, cells(reversed(text))).otherwise(cells(text))
     rows = raw.select(part, F.lit(5).alias("place"), line.alias("value"))
     banner = "Relatorio de vendas,,,,,,"
     head = ",".join(raw.columns)

@@ -60,8 +60,8 @@ def forecast_interval_query(spark, d):
 
 @query("forecast_interval_pooled", f"""WITH RECURSIVE {INTERVAL_CTE},
 bd AS (SELECT model, step, quantile_disc(e / abs(pred), 0.9) bound, count(*) n FROM er WHERE pred <> 0 GROUP BY ALL)
-SELECT c_mktsegment, fut.model, data, horizon, round(pred, 4) pred_faturamento, round(greatest(0, pred - bound * abs(pred)), 4) lower,
-round(pred + bound * abs(pred), 4) upper, round(bound, 6) bound, n FROM fut JOIN bd ON bd.model = fut.model AND bd.step = horizon""")
+SELECT c_mktsegment, fut.model, data, horizon, round(pred, 4) pred_faturamento, round(CASE WHEN bound IS NOT NULL THEN greatest(0, pred - bound * abs(pred)) END, 4) lower,
+round(pred + bound * abs(pred), 4) upper, round(bound, 6) bound, n FROM fut LEFT JOIN bd ON bd.model = fut.model AND bd.step = horizon""")
 def forecast_interval_pooled(spark, d):
     """The same with one relative bound a model and horizon for all segments, by a mergeable sketch."""
     out = forecast_interval(write_once(segment_kpis(spark, d)), naive_forecasters(), SEGMENT, pooled=True)
@@ -112,7 +112,7 @@ def weekly_direct_backtest(spark, d):
 
 @query("weekly_direct_forecast", f"""WITH {WEEK_CTE},
 rc AS (SELECT k.c_mktsegment, isodow(data) wd, faturamento_total v FROM kpis k JOIN sp USING (c_mktsegment) WHERE hi - data < 84),
-sh AS (SELECT c_mktsegment, wd, sum(v) / sum(sum(v)) OVER (PARTITION BY c_mktsegment) s FROM rc GROUP BY ALL),
+sh AS (SELECT c_mktsegment, wd, sum(v) / sum(sum(v)) OVER (PARTITION BY c_mktsegment) s FROM rc GROUP BY c_mktsegment, wd),
 dy AS (SELECT np.c_mktsegment, model, horizon, week, pred, g.wd, coalesce(s, 0) s FROM np CROSS JOIN range(1, 8) g(wd)
        LEFT JOIN sh ON sh.c_mktsegment = np.c_mktsegment AND sh.wd = g.wd WHERE latest)
 SELECT c_mktsegment, model, horizon, week, round(pred, 2) pred, CAST(week + CAST(wd - 1 AS INTEGER) AS DATE) data, round(s * pred, 2) pred_day FROM dy""")
@@ -155,8 +155,8 @@ def seasonal_smoothing_forecast(spark, d):
 
 @query("forecast_interval_smoothing", None)
 def forecast_interval_smoothing(spark, d):
-    """Bounds of the smoothed forecast by horizon day, from its own errors on the folds."""
+    """Bounds of the smoothed forecast by horizon day, from its own errors on the folds, each after a year of days."""
     kpis = write_once(segment_kpis(spark, d))
     model = {"smoothing": lambda rows, keys: smoothing_forecast(rows, 30, keys)}
-    out = forecast_interval(kpis, model, SEGMENT)
+    out = forecast_interval(kpis, model, SEGMENT, history_rows=364)
     return out.select(*SEGMENT, "model", DAY, "horizon", PREDICTION, "lower", "upper", "bound", "n", "tested", F.round("coverage", 6).alias("coverage"))

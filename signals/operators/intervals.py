@@ -25,18 +25,23 @@ def naive_forecasters(horizon_days: int = 30) -> dict[str, Forecaster]:
 
 
 def fold_histories(
-    kpis: DataFrame, series: Sequence[str] = (), initial_ratio: float = 0.6, test_size: int = 30, step: int = 30
+    kpis: DataFrame,
+    series: Sequence[str] = (),
+    initial_ratio: float = 0.6,
+    test_size: int = 30,
+    step: int = 30,
+    history_rows: int = HISTORY_ROWS,
 ) -> DataFrame:
     """Each row once per walk-forward fold whose forecast looks back on it, numbered in ``fold``.
 
-    Fold f starts at row ``initial + (f - 1) * step`` of its series; only the last ``HISTORY_ROWS`` rows before are kept, so
-    the rows are multiplied by at most ``HISTORY_ROWS / step`` and one more. Folds follow from row positions, without a join.
+    Fold f starts at row ``initial + (f - 1) * step`` of its series; only the last ``history_rows`` rows before are kept, so
+    the rows are multiplied by at most ``history_rows / step`` and one more. Folds follow from row positions, without a join.
     """
     placed = with_positions(kpis, DAY, series)
     initial = F.floor(F.col("_n") * F.lit(initial_ratio)).cast("int")
     folds = F.floor((F.col("_n") - test_size - initial) / step).cast("int") + 1
     after = F.greatest(F.lit(1), F.floor((F.col("_pos") - initial) / step).cast("int") + 2)
-    until = F.least(folds, F.floor((F.col("_pos") + HISTORY_ROWS - initial) / step).cast("int") + 1)
+    until = F.least(folds, F.floor((F.col("_pos") + history_rows - initial) / step).cast("int") + 1)
     numbers = F.when(after <= until, F.sequence(after, until))
     return placed.withColumn("fold", F.explode(numbers)).drop("_pos", "_n")
 
@@ -48,13 +53,14 @@ def horizon_errors(
     initial_ratio: float = 0.6,
     test_size: int = 30,
     step: int = 30,
+    history_rows: int = HISTORY_ROWS,
 ) -> DataFrame:
     """``series, model, fold, horizon, actual, pred`` of every forecast day that had sales.
 
     Folds are further series to a forecaster, so all of them are forecast in one pass.
     """
     keys = [*series, "fold"]
-    histories = fold_histories(kpis, series, initial_ratio, test_size, step)
+    histories = fold_histories(kpis, series, initial_ratio, test_size, step, history_rows)
     first = F.min(DAY).over(Window.partitionBy(*keys))
     actual = kpis.select(*series, DAY, F.col(REVENUE).alias("actual"))
     every = None
@@ -135,14 +141,15 @@ def forecast_interval(
     test_size: int = 30,
     step: int = 30,
     pooled: bool = False,
+    history_rows: int = HISTORY_ROWS,
 ) -> DataFrame:
     """The forecast of every series and model with ``lower`` and ``upper`` bounds by horizon day.
 
-    ``n`` errors stand behind a bound; ``tested`` later ones were within it with the share ``coverage``. ``pooled``
+    Forecasters see ``history_rows`` rows before an origin, the recursive ones need no more than the default. ``n`` errors stand behind a bound; ``tested`` later ones were within it with the share ``coverage``. ``pooled``
     takes one relative bound a model and horizon for all series instead, from all folds. Days without sales
     have no error; a series too short for enough folds gets null bounds.
     """
-    errors = horizon_errors(kpis, forecasters, series, initial_ratio, test_size, step)
+    errors = horizon_errors(kpis, forecasters, series, initial_ratio, test_size, step, history_rows)
     by = ["model", "horizon"] if pooled else [*series, "model", "horizon"]
     bounds = pooled_bounds(errors, by, alpha) if pooled else conformal_bounds(errors, by, alpha, calibration)
     out = None

@@ -114,7 +114,8 @@ def predict(ws: Workspace, artifact: str | None = None) -> None:
     """The forecast of every series by its production model (or one given), with bounds by horizon day.
 
     The bounds are ranks of the model's own errors when it forecasts from origins in the part of the days it was
-    not fitted on, so the candidates of the hold-out are what is measured.
+    not fitted on, so the candidates of the hold-out are what is measured. Many series share relative bounds, as most are
+    too short for their own.
     """
     s, keys = ws.sizes, list(ws.series)
     kpis = ws.table("kpis_diarios")
@@ -129,7 +130,7 @@ def predict(ws: Workspace, artifact: str | None = None) -> None:
         model = load_model(ws.path(place))
         forecaster = {name: lambda days, by, model=model: recursive_forecast(days, model, s.forecast_days, by)}
         bounded = forecast_interval(
-            write_once(rows), forecaster, keys, s.interval_alpha, 1.0, s.train_ratio, s.forecast_days, s.interval_step
+            write_once(rows), forecaster, keys, s.interval_alpha, 1.0, s.train_ratio, s.forecast_days, s.interval_step, bool(keys)
         )
         out = bounded if out is None else out.unionByName(bounded)
     future = out.select(*keys, DAY, PREDICTION, "lower", "upper")

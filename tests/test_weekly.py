@@ -11,7 +11,8 @@ import pytest
 from signals.__main__ import main
 from signals.catalog.cleaning import raw_customers, raw_factory_orders, raw_purchases
 from signals.operators.reports import drift_view, forecast_view, model_tiles, propensity_view, uplift_tiles
-from signals.plans.forecast_step import select, train_and_predict
+from signals.plans.data_step import run_data_step
+from signals.plans.forecast_step import run_forecast_step, select, train_and_predict
 from signals.plans.weekly import run_weekly
 from signals.plans.workspace import Sizes, Workspace
 from signals.sources.models import feature_list, load_model
@@ -81,6 +82,40 @@ def test_quick_forecast_without_same_day_drivers(ws):
     assert csv(ws, "forecast_future_30d").count() == 3
 
 
+def test_many_series(spark, tmp_path):
+    """Every master's revenue is a series of its own, from the daily table to the forecast with its bounds."""
+    sizes = Sizes(forest_trees=4, forest_depth=4, boost_rounds=2, boost_depth=2, fold_days=60, forecast_days=5)
+    w = Workspace(spark, str(tmp_path), sizes=sizes, series=("nome_master",))
+    run_data_step(w, raw_purchases(spark, SF_DIR), raw_customers(spark, SF_DIR), raw_factory_orders(spark, SF_DIR))
+    run_forecast_step(w)
+    days = w.table("kpis_diarios")
+    masters = {r[0] for r in days.select("nome_master").distinct().collect()}
+    total = w.table("compras_clientes_clean").selectExpr("sum(valor_total)").first()[0]
+    assert len(masters) >= 5 and days.selectExpr("sum(faturamento_total)").first()[0] == pytest.approx(total)
+    rejected = w.table("compras_clientes_rejected")
+    assert rejected.count() + w.table("compras_clientes_clean").count() == raw_purchases(spark, SF_DIR).count()
+    chosen = csv(w, "forecast_model_selection").collect()
+    assert {r["nome_master"] for r in chosen} <= masters and all(r["artifact"].endswith(r["selected_model"]) for r in chosen)
+    future = csv(w, "forecast_future_30d").collect()
+    assert len(future) == 5 * len(chosen) and all(r["lower"] <= r["pred_faturamento"] <= r["upper"] for r in future if r["upper"])
+    assert sum(r["upper"] is not None for r in future) > 0
+
+
+def test_masking_sheets_from_the_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Relatorio,\nCod. Cliente,Nome\n1,Ana\n")
+    main(["mask", "--customers", str(tmp_path / "in" / "*.csv"), "--out", str(tmp_path / "out"), "--salt", "s"])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out" / "customers")).collect()]
+    assert "Cod. Cliente,Nome" in lines and len(lines) == 3 and not any("Ana" in x for x in lines)
+
+
+def test_missing_columns_stop_the_batch(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path))
+    with pytest.raises(RuntimeError, match="quality"):
+        run_data_step(w, raw_purchases(spark, SF_DIR), raw_customers(spark, SF_DIR).drop("Nome"), raw_factory_orders(spark, SF_DIR))
+    assert csv(w, "quality_report").where("severity = 'error'").count() == 1 and not w.has("compras_clientes")
+
+
 def test_command_line(spark, tmp_path):
     path = str(tmp_path / "people")
     raw_customers(spark, SF_DIR).write.parquet(path)

@@ -319,9 +319,9 @@ def quality_report_observed(spark, d):
 @query("checked_tables", f"""WITH {RAW_PURCHASES}, {RAW_CUSTOMERS}, {RAW_FACTORY},
 u AS (SELECT *, coalesce(id_cliente, '') <> '' AND coalesce(id_pedido, '') <> '' AND data_compra IS NOT NULL ok FROM pp)
 SELECT 'compras' dataset, CASE WHEN ok THEN 'aceita' ELSE 'rejeitada' END situacao, count(*) linhas, count(DISTINCT id_pedido) pedidos,
-  round(sum(valor_total), 2) valor FROM u GROUP BY ok
+  CAST(sum(CAST(valor_total AS DECIMAL(18, 4))) AS DOUBLE) valor FROM u GROUP BY ok
 UNION ALL SELECT 'clientes', 'aceita', count(*), NULL, NULL FROM pc
-UNION ALL SELECT 'pedidos_cd', 'aceita', count(*), count(DISTINCT id_pedido), round(sum(valor_pedido), 2) FROM pf""")
+UNION ALL SELECT 'pedidos_cd', 'aceita', count(*), count(DISTINCT id_pedido), CAST(sum(CAST(valor_pedido AS DECIMAL(18, 4))) AS DOUBLE) FROM pf""")
 def checked_tables(spark, d):
     """What the checked tables hold, usable and rejected rows apart, read back from the files."""
     rows = None
@@ -332,7 +332,7 @@ def checked_tables(spark, d):
         count = read.groupBy(SITUATION).agg(
             F.count(F.lit(1)).alias("linhas"),
             (F.count_distinct(order) if known else F.max(F.lit(None).cast("long"))).alias("pedidos"),
-            (F.round(F.sum(value), 2) if known else F.max(F.lit(None).cast("double"))).alias("valor"),
+            (F.sum(F.col(value).cast("decimal(18,4)")).cast("double") if known else F.max(F.lit(None).cast("double"))).alias("valor"),
         )
         part = count.select(F.lit(dataset).alias("dataset"), SITUATION, "linhas", "pedidos", "valor")
         rows = part if rows is None else rows.unionByName(part)

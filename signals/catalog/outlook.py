@@ -153,7 +153,7 @@ def seasonal_smoothing_forecast(spark, d):
     return rounded(smoothing_forecast(segment_kpis(spark, d), 30, SEGMENT), pred_faturamento=4)
 
 
-@query("forecast_interval_smoothing", None)
+@query("forecast_interval_smoothing")
 def forecast_interval_smoothing(spark, d):
     """Bounds of the smoothed forecast by horizon day, from its own errors on the folds, each after a year of days."""
     kpis = write_once(segment_kpis(spark, d))

@@ -70,9 +70,13 @@ def fit_propensity(
 
 
 def score_with(model: PipelineModel, df: DataFrame, name: str = SCORE) -> DataFrame:
-    """M3: probability of the positive class as one more column."""
+    """M3: probability of the positive class as one more column.
+
+    A copy of the model scores. A forest just fitted holds its training summary and, in it, the session, which would travel with
+    every task and can no longer be sent once anything was observed in that session; a copy holds neither.
+    """
     require_columns(df, feature_list(model))
-    out = model.transform(df)
+    out = model.copy().transform(df)
     return out.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from signals.columns import SCORE, TARGET
-from signals.operators.campaign import fit_propensity, score_with
+from signals.columns import PROPENSITY_FEATURES, SCORE, TARGET, CustomerCols
+from signals.operators.campaign import campaign_list, fit_propensity, score_with
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,16 @@ def test_fitted_forest_scores_rows(observed, tmp_path):
     fitted = model.stages[-1]
     few = [(r["id"], r["_features"]) for r in model.stages[0].transform(own).collect()]
     assert {i: got[i] for i, _ in few} == {i: pytest.approx(fitted.predictProbability(v)[1]) for i, v in few}
+
+
+def test_list_of_a_fitted_forest(observed):
+    """The weekly list ranks, floors and names scores of a forest just fitted: all passes over the scores leave the driver."""
+    features = [f"CAST((id * {7 + i}) % 40 AS DOUBLE) AS {c}" for i, c in enumerate(PROPENSITY_FEATURES)]
+    rows = observed.range(400).selectExpr("id AS id_cliente", *features, f"CAST((id * 7) % 40 < 10 AS INT) AS {TARGET}")
+    people = observed.range(0, 400, 2).selectExpr("id AS id_cliente", "concat('name ', id) AS nome_cliente")
+    model = fit_propensity(rows, trees=5, depth=3)
+    scored = score_with(model, rows.drop(TARGET))
+    got = sorted(campaign_list(scored, people, 30, cols=CustomerCols("id_cliente", "nome_cliente")).collect())
+    best = sorted(((-r[SCORE], r["id_cliente"]) for r in scored.collect()))[:30]
+    assert [(r["rank"], -r[SCORE], r["id_cliente"]) for r in got] == [(i, *b) for i, b in enumerate(best, 1)]
+    assert all(r["nome_cliente"] == (None if r["id_cliente"] % 2 else f"name {r['id_cliente']}") for r in got)

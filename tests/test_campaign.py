@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from signals.catalog import QUERIES
+from signals.catalog.customers import BASE_CTE
 from signals.columns import PROPENSITY_FEATURES, SCORE, TARGET, CustomerCols
 from signals.operators.campaign import campaign_list, fit_propensity, score_with
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def observed(spark):
@@ -44,3 +51,17 @@ def test_list_of_a_fitted_forest(observed):
     best = sorted(((-r[SCORE], r["id_cliente"]) for r in scored.collect()))[:30]
     assert [(r["rank"], -r[SCORE], r["id_cliente"]) for r in got] == [(i, *b) for i, b in enumerate(best, 1)]
     assert all(r["nome_cliente"] == (None if r["id_cliente"] % 2 else f"name {r['id_cliente']}") for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data is not here")
+def test_query_after_the_observed_report(spark):
+    """The registered query in the session of the report that observes: everyone who can be on the list, with SQL's features."""
+    assert QUERIES["quality_report_observed"](spark, SF_DIR).count() > 0
+    rows = QUERIES["campaign_rf"](spark, SF_DIR, trees=5).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF_DIR}/orders.parquet'")
+    base = {r[0]: r[1:] for r in con.sql(f"WITH {BASE_CTE} SELECT o_custkey, {', '.join(PROPENSITY_FEATURES)} FROM base").fetchall()}
+    assert len(rows) == len({r["o_custkey"] for r in rows}) == min(100, len(base))
+    assert all([r[c] for c in PROPENSITY_FEATURES] == pytest.approx(base[r["o_custkey"]]) for r in rows)
+    best = sorted((-r[SCORE], r["o_custkey"]) for r in rows)
+    assert [(r["rank"], -r[SCORE], r["o_custkey"]) for r in sorted(rows)] == [(i, *b) for i, b in enumerate(best, 1)]

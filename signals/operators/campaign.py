@@ -27,9 +27,14 @@ ACTION_PREMIUM = "Oferta premium"
 ACTION_WIN_BACK = "Reativacao imediata"
 PREMIUM_MAX_RECENCY = 14
 CAMPAIGN_SIZE = 100
-# Training rows are dealt into this many parts at least, and into more from so many rows a part.
+# Training rows are dealt into this many parts at least, and into more from so many sample counts (one a row and tree) a part.
 TRAINING_PARTS = 32
-ROWS_PER_PART = 50_000
+COUNTS_PER_PART = 15_000_000
+
+
+def training_parts(rows: int, trees: int) -> int:
+    """Parts of the training rows: the forest keeps a count for each tree with each row, and every part sends sums of every tree."""
+    return max(TRAINING_PARTS, -(-rows * trees // COUNTS_PER_PART))
 
 
 def fit_propensity(
@@ -43,8 +48,8 @@ def fit_propensity(
     """M2: random forest on class-balanced weights ``n / (2 * n_class)``.
 
     The used columns are written once, so that the counts behind the weights and the passes of the fit read
-    them and not the whole plan. Rows are dealt by content into parts whose number follows from the rows alone, which
-    keeps a part bounded, all slots busy and the trees' samples the same on any cluster.
+    them and not the whole plan. Rows are dealt by content into parts whose number follows from the rows and trees alone,
+    which keeps a part bounded, all slots busy and the trees' samples the same on any cluster.
     """
     used = present(train, features)
     rows = write_once(train.select(*used, label))
@@ -64,8 +69,7 @@ def fit_propensity(
         featureSubsetStrategy="sqrt",
     )
     stages = [VectorAssembler(inputCols=used, outputCol="_features"), forest]
-    parts = max(TRAINING_PARTS, -(-total // ROWS_PER_PART))
-    dealt = rows.repartition(parts, *used, label)
+    dealt = rows.repartition(training_parts(total, trees), *used, label)
     return Pipeline(stages=stages).fit(dealt.withColumn("_weight", weight))
 
 

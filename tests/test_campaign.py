@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from signals.catalog import QUERIES
 from signals.catalog.customers import BASE_CTE
 from signals.columns import PROPENSITY_FEATURES, SCORE, TARGET, CustomerCols
-from signals.operators.campaign import campaign_list, fit_propensity, score_with
+from signals.operators.campaign import campaign_list, fit_propensity, score_with, training_parts
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -53,6 +53,12 @@ def test_list_of_a_fitted_forest(observed):
     assert all(r["nome_cliente"] == (None if r["id_cliente"] % 2 else f"name {r['id_cliente']}") for r in got)
 
 
+@pytest.mark.parametrize("rows, trees, parts", [(1, 50, 32), (1_300_000, 50, 32), (76_100_000, 50, 254), (76_100_000, 300, 1522)])
+def test_training_parts_follow_rows_and_trees(rows, trees, parts):
+    """Few trees make small rows and get few parts: each part sends the sums of all nodes at every level."""
+    assert training_parts(rows, trees) == parts
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data is not here")
 def test_query_after_the_observed_report(spark):
     """The registered query in the session of the report that observes: everyone who can be on the list, with SQL's features."""

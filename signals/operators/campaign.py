@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from signals.columns import PROPENSITY_FEATURES, SCORE, TARGET, CustomerCols
 from signals.functions.numeric import labelled_bin
+from signals.operators.forest import fit_by_cells
 from signals.operators.ranking import full_ranking, top_k
 from signals.operators.tables import first_by_key, present, require_columns
 from signals.sources.models import feature_list
@@ -30,6 +31,8 @@ CAMPAIGN_SIZE = 100
 # Training rows are dealt into this many parts at least, and into more from so many sample counts (one a row and tree) a part.
 TRAINING_PARTS = 32
 COUNTS_PER_PART = 15_000_000
+# With more sample counts than this the forest is grown on counted cells instead of rows.
+COUNTS_OF_ROWS = 100_000_000
 
 
 def training_parts(rows: int, trees: int) -> int:
@@ -47,18 +50,17 @@ def fit_propensity(
 ) -> PipelineModel:
     """M2: random forest on class-balanced weights ``n / (2 * n_class)``.
 
-    The used columns are written once, so that the counts behind the weights and the passes of the fit read
-    them and not the whole plan. Rows are dealt by content into parts whose number follows from the rows and trees alone,
-    which keeps a part bounded, all slots busy and the trees' samples the same on any cluster.
+    Up to ``COUNTS_OF_ROWS`` the used columns are written once, so that the passes of the fit read them and not the whole plan.
+    Rows are dealt by content into parts whose number follows from the rows and trees alone, which keeps a part bounded, all
+    slots busy and the trees' samples the same on any cluster. Above that, equal rows after binning are counted (``fit_by_cells``):
+    nothing as long as the rows is kept, and the rows are read three times, so ``train`` should be a stored table.
     """
     used = present(train, features)
-    rows = write_once(train.select(*used, label))
-    total, positive = rows.agg(
+    total, positive = train.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")).alias("c")
     ).first()["c"]
     if not positive or positive == total:
         raise ValueError("training needs rows of both classes")
-    weight = F.when(F.col(label) == 1, total / (2.0 * positive)).otherwise(total / (2.0 * (total - positive)))
     forest = RandomForestClassifier(
         featuresCol="_features",
         labelCol=label,
@@ -68,8 +70,11 @@ def fit_propensity(
         seed=seed,
         featureSubsetStrategy="sqrt",
     )
+    if total * trees > COUNTS_OF_ROWS:
+        return fit_by_cells(train, total, positive, used, label, forest)
+    weight = F.when(F.col(label) == 1, total / (2.0 * positive)).otherwise(total / (2.0 * (total - positive)))
     stages = [VectorAssembler(inputCols=used, outputCol="_features"), forest]
-    dealt = rows.repartition(training_parts(total, trees), *used, label)
+    dealt = write_once(train.select(*used, label)).repartition(training_parts(total, trees), *used, label)
     return Pipeline(stages=stages).fit(dealt.withColumn("_weight", weight))
 
 

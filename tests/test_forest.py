@@ -86,3 +86,15 @@ def test_campaign_of_many_rows(spark, monkeypatch):
     if len(got) < 100:
         plain = lambda rows: sorted((r["o_custkey"], r["c_name"], r["recency"], r["monetary_lookback"]) for r in rows)
         assert plain(got) == plain(of_rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data is not here")
+def test_metrics_of_many_rows(spark, monkeypatch):
+    """The registered metrics, the forest grown from cells: counts, dates and the baseline stay, and the forest is about as good."""
+    of_rows = {r["model"]: r.asDict() for r in QUERIES["propensity_rf"](spark, SF_DIR, trees=10).collect()}
+    monkeypatch.setattr(campaign, "COUNTS_OF_ROWS", 0)
+    got = {r["model"]: r.asDict() for r in QUERIES["propensity_rf"](spark, SF_DIR, trees=10).collect()}
+    assert got["baseline_recency"] == of_rows["baseline_recency"]
+    forests = [x["random_forest"] for x in (got, of_rows)]
+    assert all(forests[0][c] == forests[1][c] for c in ("train_rows", "test_rows", "train_end", "test_start"))
+    assert forests[0]["pr_auc"] == pytest.approx(forests[1]["pr_auc"], rel=0.2) and forests[0]["pr_auc"] != forests[1]["pr_auc"]

@@ -17,7 +17,7 @@ from signals.operators.panel import propensity_panel
 from signals.operators.ranking import long_scores, recency_score
 from signals.operators.retention import activity_islands, inactive_spells, reactivation_by_month, return_curve
 from signals.operators.splits import held_out_rows, split_by_date
-from signals.sources.scratch import scratch_path, write_once
+from signals.sources.scratch import scratch_path, shuffles_dropped, write_once
 from signals.sources.tables import write_table
 
 
@@ -177,8 +177,9 @@ def panel_incremental(spark, d):
         orders.withColumn("_batch", F.when(F.col("o_orderkey") % 997 == 0, 2).when(F.to_date("o_orderdate") > end, 1).otherwise(0))
     )
     path = scratch_path(spark)
-    stored = propensity_panel(delivery.where("_batch = 0"), ORDERS, one_row_per_order=True)
-    write_table(stored, path, SNAPSHOT)
+    stored = propensity_panel(delivery.where("_batch = 0"), ORDERS, one_row_per_order=True, span_weeks=26)
+    with shuffles_dropped(spark):
+        write_table(stored, path, SNAPSHOT, dealt=True)
     for n in (1, 2):
         known, arrived = delivery.where(F.col("_batch") <= n), delivery.where(F.col("_batch") == n)
         refresh_panel(spark, path, known, arrived, ORDERS, one_row_per_order=True)

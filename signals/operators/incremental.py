@@ -12,7 +12,11 @@ from signals.functions.calendar import first_weekday_from, next_midnight, week_n
 from signals.operators.enrich import KEY, Provider, address_misses, repaired_cache
 from signals.operators.panel import propensity_panel
 from signals.operators.tables import first_by_key
-from signals.sources.scratch import write_once
+from signals.sources.scratch import shuffles_dropped, write_once
+
+# Snapshots written anew at once, and keys sent to all tasks at most.
+SNAPSHOTS_AT_ONCE = 26
+BROADCAST_KEYS = 500_000
 
 
 def touched_snapshots(
@@ -45,18 +49,20 @@ def refresh_panel(
 
     ``purchases`` are all purchases, the arrived ones among them, late ones too. Only partitions that an arrived purchase
     can touch are rewritten, and in them only the customers who bought are computed again, from their own purchases near those
-    snapshots; all other rows are copied. Snapshots after the stored ones are computed for everyone. The new
-    partitions are first written aside and then replace the old ones one by one, so a run that was cut off can be run again.
-    The result equals a panel built from all purchases. Of all purchases one column is read whole, for the end of the data.
+    snapshots; all other rows are copied. Snapshots after the stored ones are computed for everyone. ``SNAPSHOTS_AT_ONCE``
+    are written aside together and then replace the old ones one by one, so beside the panel only these need disk, and a run
+    that was cut off can be run again. The result equals a panel built from all purchases. Of all purchases one column is
+    read whole, for the end of the data.
     """
     stored = spark.read.parquet(path)
     last_day = purchases.agg(F.max(F.to_date(cols.time)).alias("d")).first()["d"]
     newest = stored.agg(F.max(SNAPSHOT).alias("d")).first()["d"]
     if last_day is None or arrived.isEmpty():
         return []
-    if newest is None:
-        newest = date.min + timedelta(days=2 * lookback_days)
-    touched = touched_snapshots(arrived, cols, last_day, horizon_days, lookback_days, weekday)
+    reach = (cols, last_day, horizon_days, lookback_days, weekday)
+    old = [d for d in touched_snapshots(arrived, *reach) if newest is not None and d <= newest]
+    ahead = purchases if newest is None else purchases.where(F.to_date(cols.time) >= F.date_sub(F.lit(newest), lookback_days))
+    new = [d for d in touched_snapshots(ahead, *reach) if newest is None or d > newest]
     sizes = {
         "horizon_days": horizon_days,
         "lookback_days": lookback_days,
@@ -65,26 +71,29 @@ def refresh_panel(
         "one_row_per_order": one_row_per_order,
         "last_day": last_day,
     }
-    buyers = arrived.select(cols.customer).where(F.col(cols.customer).isNotNull()).distinct()
-    old = [d for d in touched if d <= newest]
-    parts = []
     if old:
-        own = purchases.join(buyers, cols.customer, "left_semi")
-        again = propensity_panel(own, cols, between=(old[0], old[-1]), **sizes).where(F.col(SNAPSHOT).isin(old))
-        copied = stored.where(F.col(SNAPSHOT).isin(old)).join(buyers, cols.customer, "left_anti")
-        parts += [again, copied.select(*again.columns)]
-    if last_day > newest:
-        parts.append(propensity_panel(purchases, cols, between=(newest + timedelta(days=1), last_day), **sizes))
-    if not parts:
+        buyers = write_once(arrived.select(cols.customer).where(F.col(cols.customer).isNotNull()).distinct())
+        buyers = F.broadcast(buyers) if buyers.count() <= BROADCAST_KEYS else buyers
+        own = write_once(purchases.join(buyers, cols.customer, "left_semi"))
+    for i in range(0, len(old), SNAPSHOTS_AT_ONCE):
+        some = old[i : i + SNAPSHOTS_AT_ONCE]
+        again = propensity_panel(own, cols, between=(some[0], some[-1]), **sizes).where(F.col(SNAPSHOT).isin(some))
+        copied = stored.where(F.col(SNAPSHOT).isin(some)).join(buyers, cols.customer, "left_anti")
+        replace_snapshots(path, again.unionByName(copied.select(*again.columns)))
+    for i in range(0, len(new), SNAPSHOTS_AT_ONCE):
+        some = new[i : i + SNAPSHOTS_AT_ONCE]
+        replace_snapshots(path, propensity_panel(purchases, cols, between=(some[0], some[-1]), **sizes))
+    if not old and not new:
         return []
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    aside = write_once(rows)
-    done = sorted(r[SNAPSHOT] for r in aside.select(SNAPSHOT).distinct().collect())
-    writer = aside.hint("rebalance", SNAPSHOT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(SNAPSHOT).parquet(path)
-    return done
+    written = spark.read.schema(stored.schema).parquet(path).where(F.col(SNAPSHOT).isin(old + new))
+    return sorted(r[SNAPSHOT] for r in written.select(SNAPSHOT).distinct().collect())
+
+
+def replace_snapshots(path: str, rows: DataFrame) -> None:
+    """Replace the partitions that have rows here; the rows may come from the same table, as nothing is replaced before all are written."""
+    with shuffles_dropped(rows.sparkSession):
+        writer = rows.hint("rebalance", SNAPSHOT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(SNAPSHOT).parquet(path)
 
 
 def append_to_cache(

@@ -67,6 +67,7 @@ def propensity_panel(
     future_value: str | None = None,
     between: tuple[date, date] | None = None,
     last_day: date | None = None,
+    span_weeks: int | None = None,
 ) -> DataFrame:
     """A3: one row per (customer, weekly snapshot) with features and the repurchase label.
 
@@ -83,7 +84,9 @@ def propensity_panel(
     ``one_row_per_order`` skips the repeated-order step for tables keyed by order.
     ``drop_censored`` leaves out snapshots whose label window ends after the data. ``future_value`` names a further
     column with the spend inside the label window. ``between`` limits the snapshots to a range of days, and only purchases
-    that these can see are read; ``last_day`` is the data's last day where the caller knows it.
+    that these can see are read; ``last_day`` is the data's last day where the caller knows it. ``span_weeks`` moves purchases to
+    their customer and a span of so many weeks instead, once for each span that can see them: a task then makes snapshots of one
+    span or two only, and its rows can be written by snapshot without being shuffled to it.
     """
     if last_day is not None:
         last = F.lit(last_day)
@@ -100,12 +103,23 @@ def propensity_panel(
     # A fixed count: run-time merging goes by the size before the rows multiply.
     slots = int(purchases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = F.date_add("_day", lookback_days)
+    ranges = {"_from": F.greatest(F.date_sub(seen, horizon_days), first), "_to": F.least(leaves, last)}
+    if span_weeks:
+        start, span = F.lit(date(1970, 1, 1)), 7 * span_weeks
+        number = lambda c: F.floor(F.date_diff(c, start) / span).cast("int")
+        spans = F.when(F.col("_from") <= F.col("_to"), F.sequence(number(F.col("_from")), number(F.col("_to"))))
+        inside = {
+            "_from": F.greatest("_from", F.date_add(start, F.col("_span") * span)),
+            "_to": F.least("_to", F.date_add(start, (F.col("_span") + 1) * span - 1)),
+        }
+        dealt = days.withColumns(ranges).withColumn("_span", F.explode(spans)).repartitionByRange(slots, "_span", cols.customer)
+        near, together = dealt.withColumns(inside), ["_span"]
+    else:
+        near, together = days.repartition(slots, cols.customer).withColumns(ranges), []
     snapshots = (
-        days.repartition(slots, cols.customer)
-        .withColumn("_from", F.greatest(F.date_sub(seen, horizon_days), first))
-        .withColumn("_week", F.explode(week_numbers(F.col("_from"), F.least(leaves, last), weekday)))
+        near.withColumn("_week", F.explode(week_numbers(F.col("_from"), F.col("_to"), weekday)))
         .withColumn(SNAPSHOT, F.date_add(first_weekday_from(F.col("_from"), weekday), F.col("_week") * 7))
-        .groupBy(cols.customer, SNAPSHOT)
+        .groupBy(cols.customer, *together, SNAPSHOT)
         .agg(
             F.sum(F.when(snap.between(seen, F.col("_until")), F.col("_n"))).alias("_orders"),
             F.sum(F.when(snap.between(seen, leaves), F.col("_sum"))).alias("_spend"),

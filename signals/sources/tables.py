@@ -27,13 +27,16 @@ def read_report(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+def write_table(df: DataFrame, path: str, *partition_by: str, dealt: bool = False) -> None:
     """Write a parquet table, replacing what was there.
 
     Partitioned tables are rebalanced first: few files per partition value, and a value
-    with a large share of the rows is split over several tasks and files.
+    with a large share of the rows is split over several tasks and files. ``dealt`` rows already lie so that a task
+    holds few partition values, and are written where they lie.
     """
-    if partition_by:
+    if dealt:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    elif partition_by:
         df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)

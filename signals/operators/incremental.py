@@ -14,8 +14,8 @@ from signals.operators.panel import propensity_panel
 from signals.operators.tables import first_by_key
 from signals.sources.scratch import shuffles_dropped, write_once
 
-# Snapshots written anew at once, and keys sent to all tasks at most.
-SNAPSHOTS_AT_ONCE = 26
+# Rows written anew at once, about, and keys sent to all tasks at most.
+ROWS_AT_ONCE = 20_000_000
 BROADCAST_KEYS = 500_000
 
 
@@ -49,20 +49,22 @@ def refresh_panel(
 
     ``purchases`` are all purchases, the arrived ones among them, late ones too. Only partitions that an arrived purchase
     can touch are rewritten, and in them only the customers who bought are computed again, from their own purchases near those
-    snapshots; all other rows are copied. Snapshots after the stored ones are computed for everyone. ``SNAPSHOTS_AT_ONCE``
-    are written aside together and then replace the old ones one by one, so beside the panel only these need disk, and a run
-    that was cut off can be run again. The result equals a panel built from all purchases. Of all purchases one column is
+    snapshots; all other rows are copied. Snapshots after the stored ones are computed for everyone. As many as have
+    ``ROWS_AT_ONCE`` are written aside together and then replace the old ones one by one, so beside the panel only these need
+    disk, and a run that was cut off can be run again. The result equals a panel built from all purchases. Of all purchases one column is
     read whole, for the end of the data.
     """
     stored = spark.read.parquet(path)
     last_day = purchases.agg(F.max(F.to_date(cols.time)).alias("d")).first()["d"]
-    newest = stored.agg(F.max(SNAPSHOT).alias("d")).first()["d"]
+    held = {r[SNAPSHOT]: r["count"] for r in stored.groupBy(SNAPSHOT).count().collect()}
+    newest = max(held, default=None)
     if last_day is None or arrived.isEmpty():
         return []
     reach = (cols, last_day, horizon_days, lookback_days, weekday)
     old = [d for d in touched_snapshots(arrived, *reach) if newest is not None and d <= newest]
     ahead = purchases if newest is None else purchases.where(F.to_date(cols.time) >= F.date_sub(F.lit(newest), lookback_days))
     new = [d for d in touched_snapshots(ahead, *reach) if newest is None or d > newest]
+    at_once = max(1, ROWS_AT_ONCE // max(held.values(), default=1_000_000))
     sizes = {
         "horizon_days": horizon_days,
         "lookback_days": lookback_days,
@@ -75,13 +77,13 @@ def refresh_panel(
         buyers = write_once(arrived.select(cols.customer).where(F.col(cols.customer).isNotNull()).distinct())
         buyers = F.broadcast(buyers) if buyers.count() <= BROADCAST_KEYS else buyers
         own = write_once(purchases.join(buyers, cols.customer, "left_semi"))
-    for i in range(0, len(old), SNAPSHOTS_AT_ONCE):
-        some = old[i : i + SNAPSHOTS_AT_ONCE]
+    for i in range(0, len(old), at_once):
+        some = old[i : i + at_once]
         again = propensity_panel(own, cols, between=(some[0], some[-1]), **sizes).where(F.col(SNAPSHOT).isin(some))
         copied = stored.where(F.col(SNAPSHOT).isin(some)).join(buyers, cols.customer, "left_anti")
         replace_snapshots(path, again.unionByName(copied.select(*again.columns)))
-    for i in range(0, len(new), SNAPSHOTS_AT_ONCE):
-        some = new[i : i + SNAPSHOTS_AT_ONCE]
+    for i in range(0, len(new), at_once):
+        some = new[i : i + at_once]
         replace_snapshots(path, propensity_panel(purchases, cols, between=(some[0], some[-1]), **sizes))
     if not old and not new:
         return []

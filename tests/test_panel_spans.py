@@ -53,14 +53,15 @@ def test_a_part_holds_few_snapshots(bought):
 @pytest.mark.parametrize("keys", [0, 1000])
 def test_refresh_rewrites_few_snapshots_at_once(spark, bought, rows, tmp_path, monkeypatch, keys):
     """The rows written aside are those of two snapshots, whether the buyers' keys are sent to all tasks or not."""
-    monkeypatch.setattr(incremental, "SNAPSHOTS_AT_ONCE", 2)
     monkeypatch.setattr(incremental, "BROADCAST_KEYS", keys)
     sizes, seen = [], incremental.replace_snapshots
     monkeypatch.setattr(incremental, "replace_snapshots", lambda p, df: sizes.append(df.select(SNAPSHOT).distinct().count()) or seen(p, df))
     late, new = F.col("id_pedido").isin("o10", "o44"), F.col("data_compra") > F.lit(datetime(2024, 4, 1))
     known, path = bought.where(~late & ~new), str(tmp_path / "panel")
     write_table(propensity_panel(known, COLS, span_weeks=4, **SIZES), path, SNAPSHOT, dealt=True)
-    newest = max(r[0] for r in spark.read.parquet(path).select(SNAPSHOT).distinct().collect())
+    held = {r[SNAPSHOT]: r["count"] for r in spark.read.parquet(path).groupBy(SNAPSHOT).count().collect()}
+    newest = max(held)
+    monkeypatch.setattr(incremental, "ROWS_AT_ONCE", 2 * max(held.values()))
     done = refresh_panel(spark, path, bought, bought.where(late | new), COLS, **SIZES)
     assert len(sizes) > 4 and max(sizes) <= 2 and min(done) < newest < max(done)
     want = propensity_panel(bought, COLS, **SIZES)
